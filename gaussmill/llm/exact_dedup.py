@@ -96,7 +96,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     """
     rows = written(identities(docs, text, **options), "identities")
     order = F.struct(F.col(f"{ROW}.{quoted(doc_id)}").isNull().alias("none"), F.col(f"{ROW}.{quoted(doc_id)}").alias("id"), F.col("rid"))
-    best = rows.groupBy("blocks", "name").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+    best = written(rows.groupBy("blocks", "name").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "groups")  # so that a large group's join can be split
     out = rows.join(best, ["blocks", "name"])
     return out.select(ROW, F.col("best.id").alias("keep_id"), "group_size", (F.col("best.rid") == F.col("rid")).alias("kept"), "sha")
 
