@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from gaussmill.llm import line_dedup, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +20,36 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op2_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaussmill.llm.privacy import privacy_report
+
+    return privacy_report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaussmill.llm.quality import quality_report
 
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaussmill.llm.sharding import shard_assignment
+
+    return shard_assignment(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaussmill.llm.line_dedup import boilerplate_report
+
+    return boilerplate_report(table(spark, sf_dir, "pages"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaussmill.llm.chat import format_messages
+
+    return format_messages(table(spark, sf_dir, "conversations"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaussmill.llm.simhash import near_duplicate_report
 
@@ -54,7 +79,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_dedup, op3_quality_classifier, op7_simhash_near_dedup, op8_byte_bpe, op9_token_shards, op10_decontamination)
+    own = (op1_exact_dedup, op2_privacy, op3_quality_classifier, op4_extendible_sharding, op5_line_dedup, op6_chat_formatting, op7_simhash_near_dedup, op8_byte_bpe, op9_token_shards, op10_decontamination)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -64,4 +89,25 @@ def oracle_sql() -> dict[str, str]:
             WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
             SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, h AS text_sha256
             FROM t WINDOW g AS (PARTITION BY h)""",
+        "op4_extendible_sharding": f"""
+            WITH t AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS b, lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)), 60, '0') AS bits FROM documents),
+            l AS (SELECT doc_id, g.k AS depth, substr(bits, 1, g.k) AS shard, sum(b) OVER w AS shard_bytes, count(*) OVER w AS shard_docs
+                  FROM t, (SELECT unnest(generate_series(0, 24)) AS k) g WINDOW w AS (PARTITION BY g.k, substr(bits, 1, g.k)))
+            SELECT doc_id, shard, CAST(depth AS INTEGER) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_docs
+            FROM l WHERE shard_bytes <= {sharding.LIMIT} OR shard_docs = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1""",
+        "op5_line_dedup": f"""
+            WITH t AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '{line_dedup.HOST}', 1)) AS host,
+                   regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.HIDDEN}', '', 'g'), '{line_dedup.BREAKS}', chr(10), 'g'), '{line_dedup.TAGS}', '', 'g') AS body FROM pages),
+            p AS (SELECT page_id, host, list_filter(list_transform(string_split_regex(body, '[\\n\\r]+'), lambda x: regexp_replace(x, '^[\\x20\\t]+|[\\x20\\t]+$', '', 'g')), lambda x: x <> '') AS lines FROM t),
+            e AS (SELECT DISTINCT page_id, host, unnest(lines) AS line FROM p),
+            n AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+            d AS (SELECT e.host, e.line FROM e JOIN n ON e.host = n.host GROUP BY e.host, e.line, n.pages
+                  HAVING n.pages >= {line_dedup.LEAST_PAGES} AND count(*) / n.pages > {line_dedup.RATIO}),
+            g AS (SELECT e.page_id, list(e.line) AS gone FROM e JOIN d ON e.host = d.host AND e.line = d.line GROUP BY e.page_id),
+            k AS (SELECT p.page_id, p.host, p.lines, CASE WHEN g.gone IS NULL THEN p.lines ELSE list_filter(p.lines, lambda x: NOT list_contains(g.gone, x)) END AS kept FROM p LEFT JOIN g ON p.page_id = g.page_id)
+            SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(kept) AS BIGINT) AS n_kept, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256 FROM k""",
+        "op6_chat_formatting": """
+            SELECT conv_id, turn, turn AS order_turn, CAST(0 AS INTEGER) AS depth, 'plain' AS kind, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_problems,
+                   '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS message
+            FROM conversations""",
     }
