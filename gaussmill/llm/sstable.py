@@ -181,55 +181,42 @@ class ShardReader:
 
 
 class WordEncoder(dict):
-    """Texts to ids with the tokenizers library.  As a dict it keeps the ids of chunks between white space.
+    """Texts to ids with the tokenizers library.  As a dict it keeps the ids of pieces already seen.
 
-    White space ends every piece of this tokenizer, so chunks are encoded alone.
-    Chunks of Latin-1 characters, whose lower case changes no other character,
-    are split further as the tokenizer itself would split them.
+    The tokenizer lower-cases, splits and then merges inside each piece.  Texts
+    of Latin-1 characters, whose lower case changes no other character, are
+    split here as the tokenizer would split them.  White space ends every piece
+    too, so of other texts the chunks between white space are encoded alone.
     """
 
     def __init__(self, tokenizer, width: int):
         super().__init__()
-        self.tokenizer, self.kind = tokenizer, "<u2" if width == 2 else "<u4"
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.odd = regex.compile(r"[\x1c-\x1f]").search
+        self.tokenizer, self.width, self.kind = tokenizer, width, "<u2" if width == 2 else "<u4"
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.space = regex.compile(r"[\x20\x09-\x0D]+").split
-        self.pieces: dict[str, bytes] = {}
-
-    def _whole(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) > MOST_PIECES:
-                self.pieces.clear()
-            found = self.pieces[piece] = self._whole(piece)
-        return found
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
-        if max(chunk) < "Ā" and "<|" not in chunk and "\x85" not in chunk and "\xa0" not in chunk:
-            made = b"".join(map(self._piece, self.parts(chunk.lower())))
-        else:
-            made = self._whole(chunk)
+
+    def __missing__(self, piece: str) -> bytes:
+        made = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes() if piece else b""
         if len(self) > MOST_PIECES:
             self.clear()
-        if len(chunk) < 64:
-            self[chunk] = made
+        if len(piece) < 64:
+            self[piece] = made
         return made
 
     def encode(self, text: str) -> bytes:
-        chunks = self.space(text) if self.odd(text) else text.split()
-        return b"".join(map(self.__getitem__, chunks))
+        plain = text.isascii() or max(text) < "\u0100" and "\x85" not in text
+        if plain and "<|" not in text:
+            return b"".join(map(self.__getitem__, self.split(text.lower())))
+        return b"".join(map(self.__getitem__, self.space(text)))
 
 
-@lru_cache(1)
-def _tokenizer(name: str):
+@lru_cache(2)
+def _encoder(name: str, end_id: int) -> WordEncoder:
+    """Once per Python worker, so that what it has seen serves later tasks."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(SparkFiles.get(name))
+    tokenizer = Tokenizer.from_file(SparkFiles.get(name))
+    return WordEncoder(tokenizer, 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str | None = None, *, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD) -> str:
@@ -251,10 +238,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str | None = None,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer = _tokenizer(name)
-        width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        encoder, writer = WordEncoder(tokenizer, width), ShardWriter(TaskContext.get().partitionId(), width, shard_bytes)
-        end = end_id.to_bytes(width, "little")
+        encoder = _encoder(name, end_id)
+        writer = ShardWriter(TaskContext.get().partitionId(), encoder.width, shard_bytes)
+        end = end_id.to_bytes(encoder.width, "little")
 
         def shard(data: bytes) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["value"])
