@@ -8,9 +8,9 @@ Shard file, integers little-endian unless noted:
     index          one entry per data block: key length u8, last key, offset
                    u64, bytes u32, crc32 u32
     Bloom filter   bits over all keys, 7 probes
-    footer         part u32, sequence u32, documents u64, ids u64, index offset
-                   u64, index bytes u32, filter offset u64, filter bytes u32, id
-                   width u8, magic 8 bytes
+    footer         part u32, sequence u32, documents u64, ids u64, ids before it
+                   in its part u64, index offset u64, index bytes u32, filter
+                   offset u64, filter bytes u32, id width u8, magic 8 bytes
     end mark       one byte 0x0A
 
 A key is the id's sign-flipped big-endian 8 bytes after a byte 1; a null id is
@@ -22,6 +22,7 @@ written outside the target folder.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_left
@@ -30,19 +31,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from gaussmill.llm.common import col, map_batches, new_path, slices, text_of
 
 BLOCK, SHARD, PROBES, END = 64 << 10, 16 << 20, 7, b"\n"
-FOOTER, MAGIC = struct.Struct("<IIQQQIQIB8s"), b"GMSST\x00\x01\x0a"
-MOST_PIECES = 400_000
+FOOTER, MAGIC = struct.Struct("<IIQQQQIQIB8s"), b"GMSST\x00\x01\x0a"
+MOST_PIECES = 700_000
+#: Latin-1 letters in lower case, numbers and white space, as the tokenizer classes them.
+LETTER, NUMBER, SPACE = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\x09-\x0d\x20\xa0"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -80,7 +81,7 @@ def _probes(key: bytes, bits: int) -> list[int]:
 
 class ShardWriter:
     def __init__(self, part: int, width: int, shard_bytes: int = SHARD, block_bytes: int = BLOCK):
-        self.part, self.width, self.most, self.block_bytes, self.sequence = part, width, shard_bytes, block_bytes, 0
+        self.part, self.width, self.most, self.block_bytes, self.sequence, self.before = part, width, shard_bytes, block_bytes, 0, 0
         self.zstd = zstandard.ZstdCompressor(level=1)
         self._open()
 
@@ -121,9 +122,10 @@ class ShardWriter:
         bloom = struct.pack("<Q", bits) + np.packbits(filled).tobytes()
         at = len(self.out)
         self.out += self.index + bloom
-        self.out += FOOTER.pack(self.part, self.sequence, self.docs, self.ids, at, len(self.index), at + len(self.index), len(bloom), self.width, MAGIC)
+        self.out += FOOTER.pack(self.part, self.sequence, self.docs, self.ids, self.before, at, len(self.index), at + len(self.index), len(bloom), self.width, MAGIC)
         made = bytes(self.out)
         self.sequence += 1
+        self.before += self.ids
         self._open()
         return made
 
@@ -132,7 +134,7 @@ class ShardReader:
     def __init__(self, data: bytes):
         data = data.removesuffix(END) if data[-1:] == END and data[-9:-1] == MAGIC else data
         self.data = data
-        self.part, self.sequence, self.docs, self.ids, at, n, self.bloom_at, self.bloom_n, self.width, magic = FOOTER.unpack(data[-FOOTER.size :])
+        self.part, self.sequence, self.docs, self.ids, self.before, at, n, self.bloom_at, self.bloom_n, self.width, magic = FOOTER.unpack(data[-FOOTER.size :])
         if magic != MAGIC:
             raise ValueError("not a shard")
         self.last, self.blocks, end = [], [], at + n
@@ -192,8 +194,8 @@ class WordEncoder(dict):
     def __init__(self, tokenizer, width: int):
         super().__init__()
         self.tokenizer, self.width, self.kind = tokenizer, width, "<u2" if width == 2 else "<u4"
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.space = regex.compile(r"[\x20\x09-\x0D]+").split
+        self.split = re.compile(rf"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBER}]|[^{LETTER}{NUMBER}{SPACE}]+").findall
+        self.space = re.compile(r"[\x20\x09-\x0D]+").split
 
     def __missing__(self, piece: str) -> bytes:
         made = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes() if piece else b""
@@ -270,34 +272,29 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
     def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [ShardReader(c) for c in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([getattr(r, k) for r in found], pa.int64()) for k in ("part", "sequence", "ids")], names=["part", "sequence", "ids"])
+            found = [ShardReader(c.as_py()) for c in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([getattr(r, k) for r in found], pa.int64()) for k in ("part", "ids")], names=["part", "ids"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                reader, before = ShardReader(data.as_py()), 0
+                reader = ShardReader(data.as_py())
+                before = reader.before
                 for block in range(len(reader.blocks)):
                     held = [(id_of(k), reader.array(v)) for k, v in reader.entries(block)]
                     starts = before + np.r_[0, np.cumsum([len(v) for _, v in held])]
                     before = int(starts[-1])
-                    n = len(held)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([reader.part] * n, pa.int64()), pa.array([reader.sequence] * n, pa.int64()), pa.array([k for k, _ in held], pa.int64()), pa.array(starts[:-1], pa.int64()), pa.array([v.tobytes() for _, v in held], pa.binary())],
-                        names=["part", "sequence", "doc_id", "at", "ids"],
-                    )
-
-    shards = map_batches(files, footers, "part long, sequence long, ids long").groupBy("part", "sequence").agg(F.sum("ids").alias("ids"))
-    totals = shards.groupBy("part").agg(F.sum("ids").alias("ids")).orderBy("part").collect()  # one row per partition written
+                    columns = [pa.array([reader.part] * len(held), pa.int64()), pa.array([k for k, _ in held], pa.int64()), pa.array(starts[:-1], pa.int64()), pa.array([v.tobytes() for _, v in held], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "at", "ids"])
+
+    totals = map_batches(files, footers, "part long, ids long").groupBy("part").agg(F.sum("ids").alias("ids")).orderBy("part").collect()  # a row for each partition written
     offsets, before = [], 0
     for t in totals:
         offsets.append((t["part"], before))
         before += t["ids"]
-    offset = spark.createDataFrame(offsets, "part long, offset long")
-    order = W.partitionBy("part").orderBy("sequence").rowsBetween(W.unboundedPreceding, -1)
-    shards = shards.withColumn("within", F.coalesce(F.sum("ids").over(order), F.lit(0))).join(F.broadcast(offset), "part")
-    found = map_batches(files, rows, "part long, sequence long, doc_id long, at long, ids binary")
-    return found.join(shards.select("part", "sequence", (F.col("offset") + F.col("within")).alias("base")), ["part", "sequence"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "ids")
+    offset = F.broadcast(spark.createDataFrame(offsets, "part long, offset long"))
+    found = map_batches(files, rows, "part long, doc_id long, at long, ids binary")
+    return found.join(offset, "part").select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
