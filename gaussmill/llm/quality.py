@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from operator import eq
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from gaussmill.llm.common import col, map_batches, slices, text_of
 
 BITS, MOST_LABELS, EPOCHS = 18, 10_000, 12
-MOST_TOKENS, BEGINNINGS, SCALE = 300_000, range(4, 9), 3.0
+MOST_TOKENS, BEGINNINGS, SCALE = 600_000, range(4, 9), 3.0
 
 
 def _bucket(name: str) -> int:
@@ -80,6 +81,12 @@ class Featurizer(dict):
         return {bucket: SCALE * math.sqrt(n / total) for bucket, n in counts.items() if n}
 
 
+@lru_cache(1)
+def _featurizer(live: frozenset[int]) -> Featurizer:
+    """Once per Python worker and model, so that what it has seen serves later tasks."""
+    return Featurizer(live)
+
+
 def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
@@ -143,14 +150,19 @@ def fit(docs: DataFrame, graded: DataFrame, grades: int, *, doc_id: str = "doc_i
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Featurizer()
         for batch in batches:
-            found = [known.features(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32()))], names=["id", "grade", "at", "value"]
-            )
+            for part in slices(batch, 2):
+                found = [known.features(t) for t in part.column(2).to_pylist()]
+                columns = [part.column(0), part.column(1), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "grade", "at", "value"])
 
     table = map_batches(rows, work, f"id {dict(rows.dtypes)['id']}, grade int, at array<int>, value array<float>").toArrow()
-    held = sorted(zip(*(table.column(c).to_pylist() for c in ("id", "grade", "at", "value")), strict=True), key=lambda r: (r[0], r[1], len(r[2])))
-    return fit_rows([(g, np.array(i), np.array(v, float)) for _, g, i, v in held], grades, **options)
+    table = table.sort_by([("id", "ascending"), ("grade", "ascending")]).combine_chunks()
+    if not table.num_rows:
+        return fit_rows([], grades)
+    at, value = (table.column(c).chunk(0) for c in ("at", "value"))
+    ends, buckets, values = at.offsets.to_numpy(), at.values.to_numpy(), value.values.to_numpy()
+    spans = zip(ends, ends[1:], strict=False)
+    return fit_rows([(g, buckets[a:b], values[a:b]) for g, (a, b) in zip(table.column("grade").to_pylist(), spans, strict=True)], grades, **options)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", *, carry: list[str] | None = None, least: float | None = None, tail: int | None = None) -> DataFrame:
@@ -164,7 +176,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", *, carry: li
     at = (tail or model.grades - 1) - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Featurizer(frozenset(model.weights))
+        known = _featurizer(frozenset(model.weights))
         for batch in batches:
             for part in slices(batch, 0):
                 tails = [model.tails(known.features(t)) for t in part.column(0).to_pylist()]
