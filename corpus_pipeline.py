@@ -1,44 +1,54 @@
 """A corpus through quality selection, deduplication, decontamination and tokenisation.
 
 Each stage works on all rows that the one before kept and returns the columns of
-`documents`; the last returns token ids and the text decoded from them.
+`documents`; the last returns token ids and the text decoded from them.  What a
+stage returns is to be written before the next one starts: a stage begins by
+deleting the tables that earlier ones worked with.
 """
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gaussmill.llm.byte_bpe import encode_decode
-from gaussmill.llm.common import written
+from gaussmill.llm.common import release, written
 from gaussmill.llm.decontaminate import decontaminate
 from gaussmill.llm.exact_dedup import exact_dedup
 from gaussmill.llm.quality import select_quality
 from gaussmill.llm.simhash import near_dedup
+from gaussmill.runtime import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the top grade (good and clean) is one half or more."""
+    release(spark)
     return select_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal normalised texts."""
+    release(spark)
     return exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates."""
+    release(spark)
     return near_dedup(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
+    release(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded."""
+    release(spark)
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -48,8 +58,6 @@ ORACLE_SQL = None  # models, fingerprints and merges can't be written in SQL; te
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs, "stage")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name, f"{shared_folder(spark)}/stage-{uuid4().hex}")
+    return STAGES[-1][1](spark, docs, sf_dir)

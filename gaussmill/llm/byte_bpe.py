@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -27,9 +26,9 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaussmill.llm.common import col, map_batches, slices, text_of
+from gaussmill.llm.common import col, map_batches, slices, text_of, worker_cached
 
-MOST_STATES, MOST_PIECES, HOLD, NONE = 200_000, 400_000, 4096, 1 << 60
+MOST_STATES, MOST_PIECES, HOLD, NONE = 100_000, 300_000, 4096, 1 << 60
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -90,7 +89,7 @@ class Transducer:
         known = self.pairs.get((last, token))
         if known is None:
             both = self.token[last] + self.token[token]
-            if len(self.pairs) > 4 * self.most_states:
+            if len(self.pairs) > 2 * self.most_states:
                 self.pairs.clear()
             known = self.pairs[last, token] = both not in self.ranks and self.merged(both) == [last, token]
         return known
@@ -202,9 +201,8 @@ class Decoder:
         yield machine.finish()
 
 
-@lru_cache(2)
 def _coders(name: str, pattern: str) -> tuple[Encoder, Decoder]:
-    """Once per Python worker, from the file that Spark ships to every executor."""
+    """From the file that Spark ships to every executor."""
     with open(SparkFiles.get(name), "rb") as f:
         ranks = read_ranks(f.read())
     return Encoder(ranks, pattern), Decoder(ranks)
@@ -226,7 +224,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str =
     rows = docs.select(col(doc_id).alias("doc_id"), text_of(text).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _coders(name, pattern)
+        encoder, decoder = worker_cached((name, pattern), lambda: _coders(name, pattern))
         for batch in batches:
             for part in slices(batch, 1):
                 ids = [encoder.encode(t) for t in part.column(1).to_pylist()]

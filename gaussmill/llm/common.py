@@ -12,7 +12,6 @@ Conventions that every operator of this subpackage follows:
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaussmill.runtime import ship_package
+from gaussmill.runtime import shared_folder, ship_package
 
 ROW, RID = "row", "rid"
+_scratch: list[str] = []
+_held: dict = {}
 
 
 def quoted(name: str) -> str:
@@ -33,26 +34,32 @@ def col(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only in local mode without the setting."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="gaussmill-")
-    spark.conf.set("spark.checkpoint.dir", path)
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
     return path
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def release(spark: SparkSession) -> None:
+    """Delete all tables that operators wrote so far.  Only for when the results that read them have been written."""
+    jvm = spark._jvm
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def worker_cached(key, make: Callable):
+    """An object that a Python worker keeps from task to task.  It keeps one: another key's object replaces it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df once in the shared folder and read it from there: a lineage cut that outlives executors."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

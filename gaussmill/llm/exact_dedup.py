@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaussmill.llm.common import ROW, col, is_empty, quoted, text_of, unpacked, written
+from gaussmill.llm.common import ROW, col, is_empty, text_of, unpacked, written
 
 BLOCK_BYTES = 8192
 
@@ -45,17 +45,19 @@ def _block_names(docs: DataFrame, size: int, bits: int) -> tuple[DataFrame, bool
     return written(named.orderBy("h", "content").select("h", "content", F.monotonically_increasing_id().alias("name")), "block-names"), shared
 
 
-def identities(docs: DataFrame, text: str = "text", *, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
-    """Rows (row, rid, sha, blocks, name): input columns, a row number, SHA-256 of the normalised text, block count, name.
+def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Rows (rid, row) of the input and rows (rid, id, sha, blocks, name): a row number, the input columns; the document's
+    id, SHA-256 of the normalised text, block count, name.
 
     `carry` lists the input columns that `row` holds, all when it is None.
     `hash_bits` below 64 exists to test blocks that share a hash.
     """
     held = docs.columns if carry is None else carry
-    norm = docs.select(F.struct(*[col(c) for c in held]).alias(ROW), normalised(text_of(text)).alias("norm"))
+    norm = docs.select(F.struct(F.lit(0).alias("_"), *[col(c) for c in held]).alias(ROW) if not held else F.struct(*[col(c) for c in held]).alias(ROW), col(doc_id).alias("id"), normalised(text_of(text)).alias("norm"))
     names, shared = _block_names(norm.select("norm"), block_bytes, hash_bits)
     base = norm.select(
         ROW,
+        "id",
         F.monotonically_increasing_id().alias("rid"),
         F.sha2(F.col("norm").cast("binary"), 256).alias("sha"),
         _blocks(block_bytes).alias("content"),
@@ -78,7 +80,8 @@ def identities(docs: DataFrame, text: str = "text", *, carry: list[str] | None =
     named = done[0]
     for more in done[1:]:
         named = named.unionByName(more)
-    return base.join(named, "rid").select(ROW, "rid", "sha", F.size("h").alias("blocks"), "name")
+    light = base.select("rid", "id", "sha", F.size("h").alias("blocks")).join(named, "rid")
+    return base.select("rid", ROW), written(light, "identities")
 
 
 def _chains(cells: DataFrame, name: str) -> DataFrame:
@@ -87,26 +90,26 @@ def _chains(cells: DataFrame, name: str) -> DataFrame:
     return written(lists.select("rid", F.expr("transform(c, x -> x.name)").alias("names")), name)
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows (row, keep_id, group_size, kept, sha), one for each input row.
+def _groups(light: DataFrame) -> DataFrame:
+    """Rows (blocks, name, best, group_size): of each identity the row that stays, as (none, id, rid).  Written, so that a
+    large group's join can be split."""
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
+    return written(light.groupBy("blocks", "name").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "groups")
+
+
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows that stay, with the columns of the input.
 
     Of rows with equal normalised texts the one with the smallest id stays; a
     null id comes after all others, and of rows with one id the first read
     stays.  A null text equals an empty one.  An empty table gives no rows.
     """
-    rows = written(identities(docs, text, **options), "identities")
-    order = F.struct(F.col(f"{ROW}.{quoted(doc_id)}").isNull().alias("none"), F.col(f"{ROW}.{quoted(doc_id)}").alias("id"), F.col("rid"))
-    best = written(rows.groupBy("blocks", "name").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "groups")  # so that a large group's join can be split
-    out = rows.join(best, ["blocks", "name"])
-    return out.select(ROW, F.col("best.id").alias("keep_id"), "group_size", (F.col("best.rid") == F.col("rid")).alias("kept"), "sha")
-
-
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows that stay, with the columns of the input."""
-    return unpacked(exact_groups(docs, doc_id, text, **options).where("kept"))
+    rows, light = identities(docs, doc_id, text, **options)
+    return unpacked(rows.join(_groups(light).select("best.rid"), "rid", "left_semi"))
 
 
 def duplicate_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (see exact_groups)."""
-    found = exact_groups(docs, doc_id, text, carry=[doc_id], **options)
-    return found.select(F.col(f"{ROW}.{quoted(doc_id)}").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+    """One row per document, also of those that go: doc_id, keep_id, group_size, kept, text_sha256 (see exact_dedup)."""
+    _, light = identities(docs, doc_id, text, carry=[], **options)
+    found = light.join(_groups(light), ["blocks", "name"])
+    return found.select(F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), "group_size", (F.col("best.rid") == F.col("rid")).alias("kept"), F.col("sha").alias("text_sha256"))

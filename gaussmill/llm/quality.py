@@ -19,7 +19,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from operator import eq
 
 import numpy as np
@@ -28,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaussmill.llm.common import col, map_batches, slices, text_of
+from gaussmill.llm.common import col, map_batches, slices, text_of, worker_cached
 
 BITS, MOST_LABELS, EPOCHS = 18, 10_000, 12
-MOST_TOKENS, BEGINNINGS, SCALE = 600_000, range(4, 9), 3.0
+MOST_TOKENS, BEGINNINGS, SCALE = 300_000, range(4, 9), 3.0
 
 
 def _bucket(name: str) -> int:
@@ -81,12 +80,6 @@ class Featurizer(dict):
         return {bucket: SCALE * math.sqrt(n / total) for bucket, n in counts.items() if n}
 
 
-@lru_cache(1)
-def _featurizer(live: frozenset[int]) -> Featurizer:
-    """Once per Python worker and model, so that what it has seen serves later tasks."""
-    return Featurizer(live)
-
-
 def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
@@ -173,10 +166,10 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", *, carry: li
     """
     held = docs.columns if carry is None else carry
     rows = docs.select(text_of(text).alias("_"), *[col(c) for c in held])
-    at = (tail or model.grades - 1) - 1
+    at, live = (tail or model.grades - 1) - 1, frozenset(model.weights)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _featurizer(frozenset(model.weights))
+        known = worker_cached(live, lambda: Featurizer(live))
         for batch in batches:
             for part in slices(batch, 0):
                 tails = [model.tails(known.features(t)) for t in part.column(0).to_pylist()]

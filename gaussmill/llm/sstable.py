@@ -27,7 +27,6 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaussmill.llm.common import col, map_batches, new_path, slices, text_of
+from gaussmill.llm.common import col, map_batches, new_path, slices, text_of, worker_cached
 
 BLOCK, SHARD, PROBES, END = 64 << 10, 16 << 20, 7, b"\n"
 FOOTER, MAGIC = struct.Struct("<IIQQQQIQIB8s"), b"GMSST\x00\x01\x0a"
@@ -212,9 +211,7 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, self.space(text)))
 
 
-@lru_cache(2)
 def _encoder(name: str, end_id: int) -> WordEncoder:
-    """Once per Python worker, so that what it has seen serves later tasks."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(SparkFiles.get(name))
@@ -240,7 +237,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str | None = None,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _encoder(name, end_id)
+        encoder = worker_cached((name, end_id), lambda: _encoder(name, end_id))
         writer = ShardWriter(TaskContext.get().partitionId(), encoder.width, shard_bytes)
         end = end_id.to_bytes(encoder.width, "little")
 
