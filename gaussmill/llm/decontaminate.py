@@ -111,14 +111,8 @@ def _candidates(windows: DataFrame, window: int) -> tuple[Column, int]:
 COVERED = "aggregate(sort_array(spans), struct(0 as upto, 0L as n), (a, s) -> struct(greatest(a.upto, s.at + s.len) as upto, a.n + greatest(0, s.at + s.len - greatest(a.upto, s.at)) as n), a -> a.n)"
 
 
-def hits(docs: DataFrame, items: DataFrame, *, carry: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Rows (row, n_words, n_hit, ids, spans), one for each document row.
-
-    n_hit counts the words inside any occurrence of an item's window, ids are
-    the sorted ids of those items, spans the windows found (start word and
-    length).  Null and empty texts have no words.  A null item id counts as an
-    empty string; rows with one item id are one item.  Empty tables are fine.
-    """
+def _found(docs: DataFrame, items: DataFrame, *, carry: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, rid, n_words) of all documents, and rows (rid, at, len, ids) of the item windows in them."""
     windows = written(item_windows(items, item_id, item_text, window), "item-windows")
     passing, count = _candidates(windows, window)
     held = docs.columns if carry is None else carry
@@ -126,10 +120,21 @@ def hits(docs: DataFrame, items: DataFrame, *, carry: list[str] | None = None, t
     base = written(rows.select(ROW, F.monotonically_increasing_id().alias(RID), F.size("w").cast("long").alias("n_words"), passing.alias("found")), "documents")
     cells = base.select(RID, F.explode("found").alias("c")).select(RID, "c.*")
     side = F.broadcast(windows) if count <= MOST_BROADCAST else windows
-    extended = cells.join(side, ["len", "fp", "words"]).select(RID, "at", "len", "ids")
+    return base.drop("found"), cells.join(side, ["len", "fp", "words"]).select(RID, "at", "len", "ids")
+
+
+def hits(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """Rows (row, n_words, n_hit, ids, spans), one for each document row.
+
+    n_hit counts the words inside any occurrence of an item's window, ids are
+    the sorted ids of those items, spans the windows found (start word and
+    length).  Null and empty texts have no words.  A null item id counts as an
+    empty string; rows with one item id are one item.  Empty tables are fine.
+    """
+    base, extended = _found(docs, items, **options)
     per_row = extended.groupBy(RID).agg(F.collect_set(F.struct("at", "len")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
     per_row = per_row.select(RID, F.expr(COVERED).alias("n_hit"), "ids", "spans")
-    out = base.drop("found").join(per_row, RID, "left")
+    out = base.join(per_row, RID, "left")
     return out.select(ROW, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"), "spans")
 
 
@@ -144,4 +149,6 @@ def contamination_report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_i
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows without any word inside a window of an item, with the input's columns."""
-    return unpacked(hits(docs, items, **options).where("n_hit = 0"))
+    base, extended = _found(docs, items, **options)
+    gone = written(extended.select(RID).distinct(), "dropped")  # the smaller side: whole rows move only if it is large
+    return unpacked(base.join(gone, RID, "left_anti"))

@@ -105,7 +105,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     stays.  A null text equals an empty one.  An empty table gives no rows.
     """
     rows, light = identities(docs, doc_id, text, **options)
-    return unpacked(rows.join(_groups(light).select("best.rid"), "rid", "left_semi"))
+    found = light.select("rid", "blocks", "name").join(_groups(light), ["blocks", "name"])
+    gone = written(found.where("best.rid <> rid").select("rid"), "dropped")  # the smaller side: whole rows move only if it is large
+    return unpacked(rows.join(gone, "rid", "left_anti"))
 
 
 def duplicate_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -215,5 +215,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, w
     ids = numbered.select(F.col(RID).alias("id"), F.col(f"{ROW}.{quoted(doc_id)}").alias("own"))
     order = F.struct(F.col("own").isNull().alias("none"), F.col("own"), F.col("id"))
     nodes = components(prints, radius)
-    kept = prints.join(ids, "id").join(nodes, "fp").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.id").alias(RID))
-    return unpacked(numbered.join(written(kept, "kept"), RID, "left_semi"))
+    members = written(prints.join(ids, "id").join(nodes.select("fp", "root"), "fp").select("root", "id", "own"), "members")
+    best = written(members.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", F.col("best.id").alias("stays")), "groups")
+    gone = members.join(best, "root").where("id <> stays").select(F.col("id").alias(RID))
+    return unpacked(numbered.join(written(gone, "dropped"), RID, "left_anti"))  # the smaller side: whole rows move only if it is large
