@@ -96,8 +96,12 @@ class OrdinalModel:
         return [_sigmoid(score - t) for t in self.thresholds]
 
 
-def fit_rows(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, *, epochs: int = EPOCHS, rate: float = 0.5, l1: float = 10.0, l2: float = 1e-3) -> OrdinalModel:
-    """Follow-the-regularised-leader over rows (grade, buckets, values); the L1 term leaves few weights that aren't zero."""
+def fit_rows(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, *, epochs: int = EPOCHS, rate: float = 0.5, l1: float | None = None, l2: float = 1e-3) -> OrdinalModel:
+    """Follow-the-regularised-leader over rows (grade, buckets, values); the L1 term leaves few weights that aren't zero.
+
+    It is the number of rows over 400, between 1 and 10, unless given.
+    """
+    l1 = min(10.0, max(1.0, len(rows) / 400)) if l1 is None else l1
     if not rows:
         return OrdinalModel(grades, [-30.0] * (grades - 1))
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
