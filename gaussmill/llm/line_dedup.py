@@ -33,7 +33,7 @@ def html_text(html: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines without white space at their ends; empty ones are no lines."""
-    return F.filter(F.transform(F.split(text, "[\n\r]+"), lambda x: F.regexp_replace(x, r"^[\x20\t]+|[\x20\t]+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), "[\n\r]+"), lambda x: F.regexp_replace(x, r"^[\x20\t]+|[\x20\t]+$", "")), lambda x: x != "")
 
 
 def dedup_lines(pages: DataFrame, url: Column, text: Column, *, carry: list[str] | None = None, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
