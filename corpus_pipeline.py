@@ -17,8 +17,8 @@ from gaussmill.llm.byte_bpe import encode_decode
 from gaussmill.llm.common import release, written
 from gaussmill.llm.decontaminate import decontaminate
 from gaussmill.llm.exact_dedup import exact_dedup
+from gaussmill.llm.near_copies import drop_near_copies
 from gaussmill.llm.quality import select_quality
-from gaussmill.llm.simhash import near_dedup
 from gaussmill.runtime import shared_folder
 
 
@@ -35,9 +35,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
+    """One document of each component under links of five-word similarity 0.8 or more."""
     release(spark)
-    return near_dedup(docs)
+    return drop_near_copies(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

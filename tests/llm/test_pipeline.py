@@ -11,7 +11,8 @@ import pytest
 import tiktoken
 
 from gaussmill.llm import byte_bpe, queries
-from tests.llm.test_operators import plain_components, plain_fingerprint, plain_hits, sha
+from tests.llm.test_near_copies import plain_roots
+from tests.llm.test_operators import plain_hits, sha
 
 
 def test_stages(spark, sf):
@@ -32,8 +33,7 @@ def test_stages(spark, sf):
     for r in kept[0]:
         norm.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or ""), []).append(r["doc_id"])
     assert {r["doc_id"] for r in kept[1]} == {min(v) for v in norm.values()}
-    ids = [r["doc_id"] for r in kept[1]]
-    assert {r["doc_id"] for r in kept[2]} == set(plain_components(ids, [plain_fingerprint(r["text"]) for r in kept[1]], 2))
+    assert {r["doc_id"] for r in kept[2]} == set(plain_roots([(r["doc_id"], r["text"]) for r in kept[1]]).values())
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert {r["doc_id"] for r in kept[3]} == {h[0] for h in plain_hits([(r["doc_id"], r["text"]) for r in kept[2]], items) if not h[5]}
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
