@@ -6,7 +6,8 @@ fingerprint has 2,048 bits, each the sign of a signed sum over the distinct
 shingles of the whole text (a count sketch turned by Walsh-Hadamard steps), and
 the angle between two fingerprints gives the similarity of their texts, with a
 standard error of 0.02 at 0.8.  Pairs too near the limit to tell are decided by
-their shingle sets.
+their shingle sets.  Copies are texts with one digest of the sorted shingle set:
+fingerprints of few shingles are equal too often.
 
 Upper nodes of the index are parts of the shingle set: shingles fall by hash
 into as many cells as make two to four of them meet in one, and the contents of
@@ -24,6 +25,7 @@ radius, since its members differ from the leader by no more than the radius.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +154,8 @@ def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
                 sets = [shingle_hashes(t, words) for t in part.column(1).to_pylist()]
                 bits = [row.tobytes() for row in fingerprints(sets)]
                 nodes = pa.array([nodes_of(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary()), nodes], names=["id", "n", "bits", "nodes"])
+                digests = pa.array([sha256(s.tobytes()).digest() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary()), nodes, digests], names=["id", "n", "bits", "nodes", "print"])
 
 
 def _links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -210,10 +213,10 @@ def _checked(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -
 
 def near_components(light: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
     """Rows (node, root) of rows (id long, text): every id with a link, beside the smallest id of its component."""
-    prints = written(map_batches(light, lambda b: _prints(b, words), "id long, n long, bits binary, nodes array<long>"), "near-prints")
-    named = prints.select("id", "n", F.md5("bits").alias("print"))
-    first = written(named.groupBy("n", "print").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c"), "equal-prints")
-    copies = written(named.join(first, ["n", "print"]).where("id <> b").select(F.col("id").alias("a"), "b"), "copies")
+    prints = written(map_batches(light, lambda b: _prints(b, words), "id long, n long, bits binary, nodes array<long>, print binary"), "near-prints")
+    named = prints.select("id", "print")
+    first = written(named.groupBy("print").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c"), "equal-prints")
+    copies = written(named.join(first, "print").where("id <> b").select(F.col("id").alias("a"), "b"), "copies")
     links = written(similar_links(prints.join(copies.select(F.col("a").alias("id")), "id", "left_anti"), similarity, split), "near-links")
     known = links.where("sure").select("a", "b").union(copies)
     roots = written(connected_components(known), "sure-components")

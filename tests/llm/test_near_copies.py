@@ -92,3 +92,12 @@ def test_one_node_holds_all_links():
         return label.tolist()
 
     assert roots(links) == roots([(i, j) for i, j in combinations(range(240), 2) if alike(i, j)])
+
+
+def test_short_texts_with_one_fingerprint_are_no_copies(spark):
+    """Texts of one shingle have few fingerprints; those with an equal one stay apart all the same."""
+    texts = [f"short {k}" for k in range(1500)]
+    bits = near_copies.fingerprints([near_copies.shingle_hashes(t) for t in texts])
+    assert len(np.unique(bits, axis=0)) < len(texts)
+    frame = spark.createDataFrame([*enumerate(texts), (1500, "SHORT  7")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(frame).collect()) == list(range(1500))
