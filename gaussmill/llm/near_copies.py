@@ -37,7 +37,7 @@ from gaussmill.llm.common import ROW, RID, col, connected_components, is_empty,
 from gaussmill.llm.simhash import SEED, U64, gray_rank
 
 WORDS, SIMILARITY = 5, 0.8
-BITS, CELLS, LOOSE, SPLIT, NEXT = 2048, 24, 64, 1024, 6
+BITS, CELLS, LOOSE, SPLIT, NEXT = 2048, 24, 7, 1024, 6
 #: An estimated similarity is trusted when it is so far from the limit (three standard errors); nearer ones are computed from the texts.
 SLACK = 0.06
 
@@ -65,7 +65,7 @@ def nodes_of(hashes: np.ndarray) -> np.ndarray:
         return np.zeros(1, np.int64)
     out = []
     for size in sorted({n.bit_length(), int(n / SIMILARITY + 1e-9).bit_length()}):
-        cells = max(8, 1 << (size - 1 if n < LOOSE else size - 2))
+        cells = max(8, 1 << (size - 1 if size < LOOSE else size - 2))  # of the size alone: partners must have the same cells
         cell = _mixed(hashes, 1) & U64(cells - 1)
         used = cell < CELLS
         cell, order = cell[used], np.argsort(cell[used], kind="stable")

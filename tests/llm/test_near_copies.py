@@ -101,3 +101,11 @@ def test_short_texts_with_one_fingerprint_are_no_copies(spark):
     assert len(np.unique(bits, axis=0)) < len(texts)
     frame = spark.createDataFrame([*enumerate(texts), (1500, "SHORT  7")], "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.drop_near_copies(frame).collect()) == list(range(1500))
+
+
+def test_partners_around_64_shingles_share_a_node():
+    rng = np.random.default_rng(2)
+    for a, b, common in ((52, 65, 52), (63, 64, 57), (63, 78, 63), (63, 64, 63)):
+        for _ in range(3000):
+            drawn = rng.integers(0, 2**63, a + b - common).astype(np.uint64)
+            assert len(np.intersect1d(near_copies.nodes_of(drawn[:a]), near_copies.nodes_of(drawn[a - common :])))
