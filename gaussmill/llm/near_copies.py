@@ -5,8 +5,8 @@ in about ten bits, out of reach of masks that must agree exactly.  Here a
 fingerprint has 2,048 bits, each the sign of a signed sum over the distinct
 shingles of the whole text (a count sketch turned by Walsh-Hadamard steps), and
 the angle between two fingerprints gives the similarity of their texts, with a
-standard error of 0.02 at 0.8.  Pairs too near the limit to tell are decided by
-their shingle sets.  Copies are texts with one digest of the sorted shingle set:
+standard error of 0.02 at 0.8.  Pairs that it doesn't exclude are decided by
+their shingle sets, except those inside a component found so far.  Copies are texts with one digest of the sorted shingle set:
 fingerprints of few shingles are equal too often.
 
 Upper nodes of the index are parts of the shingle set: shingles fall by hash
@@ -38,8 +38,8 @@ from gaussmill.llm.simhash import SEED, U64, gray_rank
 
 WORDS, SIMILARITY = 5, 0.8
 BITS, CELLS, LOOSE, SPLIT, NEXT = 2048, 24, 7, 1024, 6
-#: An estimated similarity is trusted when it is so far from the limit (three standard errors); nearer ones are computed from the texts.
-SLACK = 0.06
+#: Estimates from SLACK above the limit on are sure enough to link, until their shingle sets are compared; those more than BELOW under it (four standard errors) are no links.
+SLACK, BELOW = 0.06, 0.08
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -114,20 +114,29 @@ def _reach(similarity: float) -> float:
     return np.arccos(2 * similarity / (1 + similarity)) / np.pi * BITS
 
 
-def group_links(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float) -> list[tuple[int, int, bool]]:
-    """Links (a, b, sure) inside one node: sure ones span what they hold together, and every doubtful pair that they leave apart."""
+def group_links(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, roots: np.ndarray | None = None) -> list[tuple[int, int, bool]]:
+    """Links (a, b, sure) inside one node: sure ones span what they hold together, and every doubtful pair that they leave apart.
+
+    With `roots`, the components so far, no link is sure and every possible pair of two components is doubtful.
+    """
+    return [link for part in link_parts(ids, sizes, bits, similarity, roots) for link in zip(*(x.tolist() for x in part), strict=True)]
+
+
+def link_parts(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, roots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The links of group_links as arrays a, b and sure, a bounded number at a time; pairs wait for the end of the node as 32-bit numbers."""
     order = np.lexsort((ids, gray_rank(bits[:, 0])))
     ids, sizes, bits = ids[order], sizes[order].astype(float), bits[order]
-    sure, least, reach = similarity + SLACK, similarity - SLACK, 2 * _reach(similarity - SLACK)
-    label, group, leaders = np.arange(len(ids)), np.zeros(len(ids), np.int64), [0]
-    out, doubtful = [], []
+    sure, least, reach = similarity + SLACK if roots is None else np.inf, similarity - BELOW, 2 * _reach(similarity - BELOW)
+    label, group, leaders = np.arange(len(ids)) if roots is None else roots[order], np.zeros(len(ids), np.int64), [0]
+    out, doubtful = [], [np.zeros((2, 0), np.int32)]
 
     def tie(i: int, others: np.ndarray, alike: np.ndarray) -> None:
         for j in others[alike >= sure].tolist():
             if label[i] != label[j]:
                 label[label == label[i]] = label[j]
-                out.append((int(ids[i]), int(ids[j]), True))
+                out.append((i, j))
 
+    waiting = 0
     for i in range(1, len(ids)):
         held = np.array(leaders)
         alike, differ = similarities(bits[i], sizes[i], bits[held], sizes[held])
@@ -136,14 +145,26 @@ def group_links(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity
         if len(inside):
             found = similarities(bits[i], sizes[i], bits[inside], sizes[inside])[0]
             tie(i, inside, found)
-            doubtful += [(i, j) for j in inside[(found >= least) & (found < sure)].tolist() if label[i] != label[j]]
+            open_ = inside[(found >= least) & (found < sure)]
+            open_ = open_[label[open_] != label[i]].astype(np.int32)
+            doubtful.append(np.stack([np.full_like(open_, i), open_]))
+            waiting += len(open_)
+            if waiting > 1 << 20 or len(doubtful) > 4096:
+                pairs = np.concatenate(doubtful, axis=1)
+                doubtful = [pairs[:, label[pairs[0]] != label[pairs[1]]]]  # sure links since then may hold them together
+                waiting = 0
         nearest = int(differ.argmin())
         if 2 * differ[nearest] <= reach:
             group[i] = nearest
         else:
             group[i] = len(leaders)
             leaders.append(i)
-    return out + [(int(ids[i]), int(ids[j]), False) for i, j in doubtful if label[i] != label[j]]
+    pairs = np.concatenate(doubtful, axis=1)
+    pairs = pairs[:, label[pairs[0]] != label[pairs[1]]]
+    for kind, (i, j) in ((True, np.array(out, np.int64).reshape(-1, 2).T), (False, pairs)):
+        for start in range(0, len(i), 1 << 16):
+            a, b = ids[i[start : start + (1 << 16)]], ids[j[start : start + (1 << 16)]]
+            yield a, b, np.full(len(a), kind)
 
 
 def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -159,34 +180,43 @@ def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
 
 
 def _links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Batches (node, id, n, bits) sorted by node.  Holds one node at a time."""
-    rest = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, BITS // 64), U64)]
+    """Batches (node, id, n, bits) or (node, id, n, bits, root) sorted by node.  Holds one node at a time."""
+    rest: list[np.ndarray] = []
 
-    def links(parts: list[np.ndarray], ends: np.ndarray) -> pa.RecordBatch:
-        found = []
+    def links(parts: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for start, end in zip(np.r_[0, ends[:-1]], ends, strict=True):
             if end - start > 1:
-                found += group_links(*(p[start:end] for p in parts[1:]), similarity)
-        kinds = (pa.int64(), pa.int64(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names=["a", "b", "sure"])
+                for a, b, sure in link_parts(*(p[start:end] for p in parts[1:4]), similarity, *(p[start:end] for p in parts[4:])):
+                    held.append((np.full(len(a), parts[0][start]), a, b, sure))
+                    count += len(a)
+                    if count >= 1 << 16:
+                        yield batch_of(held)
+                        held, count = [], 0
+        if held:
+            yield batch_of(held)
+
+    def batch_of(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["node", "a", "b", "sure"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), U64).reshape(-1, BITS // 64)
-        parts = [np.concatenate([r, c]) for r, c in zip(rest, [*(batch.column(k).to_numpy() for k in range(3)), bits], strict=True)]
+        columns = [bits if k == 3 else batch.column(k).to_numpy() for k in range(batch.num_columns)]
+        parts = [np.concatenate([r, c]) for r, c in zip(rest, columns, strict=True)] if rest else columns
         ends = np.flatnonzero(np.diff(parts[0])) + 1
         if len(ends):
-            yield links(parts, ends)
+            yield from links(parts, ends)
             rest = [p[ends[-1] :] for p in parts]
         else:
             rest = parts
-    if len(rest[0]):
-        yield links(rest, np.array([len(rest[0])]))
+    if rest and len(rest[0]):
+        yield from links(rest, np.array([len(rest[0])]))
 
 
-def similar_links(prints: DataFrame, similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
-    """Rows (a, b, sure), with repeats, of rows (id, n, bits, nodes): see group_links."""
+def filed_nodes(prints: DataFrame, split: int = SPLIT) -> DataFrame:
+    """Rows (node, id) of rows (id, nodes): the nodes with several documents, large ones split."""
     cells = prints.select("id", F.posexplode("nodes").alias("at", "node"), "nodes")
     counts = written(cells.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "near-nodes")
     filed = cells.select("id", "node").join(counts.where(F.col("c") <= split).select("node"), "node").select("node", "id")
@@ -196,8 +226,15 @@ def similar_links(prints: DataFrame, similarity: float = SIMILARITY, split: int
         finer = written(cells.join(hot, "node").select("id", F.explode(F.array_distinct(F.expr(f"array({following})"))).alias("node")), "finer-cells")
         kept = finer.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node")
         filed = filed.unionByName(finer.join(kept, "node").select("node", "id"))
-    dealt = filed.join(prints.select("id", "n", "bits"), "id").select("node", "id", "n", "bits").repartition("node").sortWithinPartitions("node")
-    return map_batches(dealt, lambda batches: _links(batches, similarity), "a long, b long, sure boolean")
+    return filed
+
+
+def similar_links(filed: DataFrame, prints: DataFrame, similarity: float = SIMILARITY, roots: DataFrame | None = None) -> DataFrame:
+    """Rows (node, a, b, sure), with repeats, of rows (node, id) and (id, n, bits): see group_links."""
+    dealt = filed.join(prints.select("id", "n", "bits"), "id").select("node", "id", "n", "bits")
+    if roots is not None:
+        dealt = dealt.join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "id", "n", "bits", F.coalesce("root", "id").alias("root"))
+    return map_batches(dealt.repartition("node").sortWithinPartitions("node"), lambda batches: _links(batches, similarity), "node long, a long, b long, sure boolean")
 
 
 def _checked(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -211,25 +248,52 @@ def _checked(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
 
+def _alike(pairs: DataFrame, light: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of rows (a, b) those whose texts have the similarity."""
+    pairs = written(pairs, "pairs")
+    ids = pairs.select(F.col("b").alias("id")).union(pairs.select("a")).distinct()
+    texts = written(light.join(ids, "id"), "pair-texts")
+    for end in ("b", "a"):
+        pairs = pairs.join(texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")), end)
+    checked = map_batches(pairs.select("a", "b", "text_a", "text_b"), lambda b: _checked(b, words, similarity), "a long, b long")
+    return written(checked, "checked")
+
+
+def _apart(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links between different components."""
+    for end in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return links.where("coalesce(root_a, a) <> coalesce(root_b, b)").drop("root_a", "root_b")
+
+
+def _joined(roots: DataFrame, pairs: DataFrame, light: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Components after the pairs (a, b) that have the similarity, too."""
+    open_ = written(_apart(pairs.distinct(), roots), "doubtful")
+    if is_empty(open_):
+        return roots
+    found = _alike(open_, light, words, similarity)
+    return written(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "components")
+
+
 def near_components(light: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
     """Rows (node, root) of rows (id long, text): every id with a link, beside the smallest id of its component."""
     prints = written(map_batches(light, lambda b: _prints(b, words), "id long, n long, bits binary, nodes array<long>, print binary"), "near-prints")
     named = prints.select("id", "print")
     first = written(named.groupBy("print").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c"), "equal-prints")
     copies = written(named.join(first, "print").where("id <> b").select(F.col("id").alias("a"), "b"), "copies")
-    links = written(similar_links(prints.join(copies.select(F.col("a").alias("id")), "id", "left_anti"), similarity, split), "near-links")
-    known = links.where("sure").select("a", "b").union(copies)
-    roots = written(connected_components(known), "sure-components")
-    open_ = links.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for end in ("a", "b"):
-        open_ = open_.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    open_ = written(open_.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "doubtful")
-    if is_empty(open_):
+    single = prints.join(copies.select(F.col("a").alias("id")), "id", "left_anti")
+    filed = filed_nodes(single, split)
+    links = written(similar_links(filed, single, similarity), "near-links")
+    pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    # one sure link of each text to a smaller id spans about what all sure links do
+    spanning = links.where("sure").select(*pair).groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")).select("a", "b")
+    roots = written(connected_components(copies.union(_alike(spanning, light, words, similarity))), "sure-components")
+    roots = _joined(roots, links.select(*pair), light, words, similarity)
+    # where a sure link was wrong, pairs that it seemed to hold together were not listed
+    broken = written(_apart(links.where("sure"), roots).select("node").distinct(), "broken-nodes")
+    if is_empty(broken):
         return roots
-    for end in ("a", "b"):
-        open_ = open_.join(light.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")), end)
-    checked = map_batches(open_.select("a", "b", "text_a", "text_b"), lambda b: _checked(b, words, similarity), "a long, b long")
-    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(checked))
+    return _joined(roots, similar_links(filed.join(broken, "node"), single, similarity, roots).select(*pair), light, words, similarity)
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

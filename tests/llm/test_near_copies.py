@@ -109,3 +109,20 @@ def test_partners_around_64_shingles_share_a_node():
         for _ in range(3000):
             drawn = rng.integers(0, 2**63, a + b - common).astype(np.uint64)
             assert len(np.intersect1d(near_copies.nodes_of(drawn[:a]), near_copies.nodes_of(drawn[a - common :])))
+
+
+def test_wrong_sure_links_are_undone(spark):
+    """Two texts of similarity 0.778 whose estimate of 0.867 is wrong stay apart, unless another text links them."""
+    words = [f"s137688w{k}" for k in range(84)]
+    made = lambda changed: " ".join(w + "x" * (k in changed) for k, w in enumerate(words))
+    near, far, between = made(()), made(range(74, 84)), made(range(79, 84))
+    sets = [near_copies.shingle_hashes(t) for t in (near, far)]
+    bits = near_copies.fingerprints(sets)
+    assert near_copies.similarities(bits[0], 80, bits[1:], np.array([80]))[0][0] >= 0.8 + near_copies.SLACK
+    for texts in ([near, far], [far, near, near + " end"], [near, far, between], [between, near, far]):
+        rows = list(enumerate(texts))
+        found = {r.node: r.root for r in near_copies.near_components(spark.createDataFrame(rows, "id long, text string")).collect()}
+        assert {i: found.get(i, i) for i, _ in rows} == plain_roots(rows)
+    ids, sizes = np.arange(2), np.array([80, 80])
+    assert near_copies.group_links(ids, sizes, bits, 0.8) == [(0, 1, True)] or near_copies.group_links(ids, sizes, bits, 0.8) == [(1, 0, True)]
+    assert [x[2] for x in near_copies.group_links(ids, sizes, bits, 0.8, ids)] == [False] and not near_copies.group_links(ids, sizes, bits, 0.8, ids * 0)
