@@ -33,7 +33,7 @@ PATTERNS = {
 }
 #: What a text must contain for a kind to be looked for at all.
 NEEDED = {"email": "text like '%@%'", "ip": r"text rlike '[0-9]\\.[0-9]'", "card": r"text rlike '[0-9][ -]?[0-9]'", "phone": "text like '%+%'"}
-OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 DIGITS = "regexp_replace(m, '[^0-9]', '')"
 LUHN = "aggregate(transform(sequence(1, length(d)), i -> int(substr(d, length(d) + 1 - i, 1)) * (2 - i % 2)), 0, (a, x) -> a + x - if(x > 9, 9, 0)) % 10 = 0"
 VALID = {

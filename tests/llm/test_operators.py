@@ -117,6 +117,15 @@ def test_disclosing_terms(spark):
     assert clean[100] == rows[5][1]
 
 
+def test_octets_of_zero(spark):
+    made = ["10.0.0.1", "127.0.0.1", "192.168.0.1", "0.0.0.0", "00.000.0000.0", "010.00.0.0255", "0.0.0.256", "0.0.0.00256", "255.255.255.255", "1.2.3.0"]
+    frame = spark.createDataFrame(list(enumerate(f"at {a} now" for a in made)), "doc_id long, text string")
+    for r in privacy.privacy_report(frame).collect():
+        want = plain_spans(f"at {made[r.doc_id]} now")
+        assert r.spans == ",".join(want) and r.n_ip == sum(s.startswith("ip") for s in want) and r.base_sha256 == sha(",".join(want))
+    assert sum("[IP]" in r.text for r in privacy.sanitise(frame).collect()) == 8
+
+
 # quality
 
 
