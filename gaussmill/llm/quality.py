@@ -7,7 +7,9 @@ probability P(grade >= j) by which documents are selected.
 
 Features of a text, all hashed into one space, are square roots of shares of its
 tokens: those with a given word (case and outer punctuation aside), beginning of
-a word, or shape; those that repeat the one before; and the distinct ones.
+a word, or shape; those that repeat the one before; and the distinct ones.  Tokens of more than 64
+characters (text without spaces, code, encoded data) are replaced by all their
+4-grams, each with the weight of a quarter.
 
 The model is fitted on at most `most_labels` labelled documents (a documented
 bound; those with the smallest hashes of their ids) and scores every document.
@@ -31,6 +33,7 @@ from gaussmill.llm.common import col, map_batches, slices, text_of, worker_cache
 
 BITS, MOST_LABELS, EPOCHS = 18, 10_000, 12
 MOST_TOKENS, BEGINNINGS, SCALE = 300_000, range(4, 9), 3.0
+LONGEST, GRAM = 64, 4
 
 
 def _bucket(name: str) -> int:
@@ -39,7 +42,7 @@ def _bucket(name: str) -> int:
 
 def _shape(token: str) -> str:
     out, last = [], ""
-    for c in token[:64]:
+    for c in token:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if kind != last:
             out.append(kind)
@@ -61,7 +64,7 @@ class Featurizer(dict):
     def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) > MOST_TOKENS:
             self.clear()
-        word = token.strip(".,;:!?*$%&#|()[]{}\"'-+/\\<>=_~^`@").lower()[:64]
+        word = token.strip(".,;:!?*$%&#|()[]{}\"'-+/\\<>=_~^`@").lower()
         made = self[token] = self._wanted("w" + word, "s" + _shape(token), *("p" + word[:n] for n in BEGINNINGS if len(word) > n))
         return made
 
@@ -69,14 +72,22 @@ class Featurizer(dict):
         tokens = text.split()
         if not tokens:
             return dict.fromkeys(self._wanted("empty"), SCALE)
-        distinct, counts = Counter(tokens), Counter()
+        distinct, counts, grams = Counter(tokens), Counter(), Counter()
+        total = len(tokens)
+        for token in [t for t in distinct if len(t) > LONGEST]:
+            n = distinct.pop(token)
+            for gram, times in Counter(token[i : i + GRAM] for i in range(len(token) - GRAM + 1)).items():
+                grams[gram] += n * times
+            total += n * ((len(token) - GRAM + 1) / GRAM - 1)
         for token, n in distinct.items():
             for bucket in self[token]:
                 counts[bucket] += n
-        for name, n in (("same", sum(map(eq, tokens, tokens[1:]))), ("distinct", len(distinct))):
+        for gram, n in grams.items():
+            for bucket in self[gram]:
+                counts[bucket] += n / GRAM
+        for name, n in (("same", sum(map(eq, tokens, tokens[1:]))), ("distinct", len(distinct) + len(grams) / GRAM)):
             for bucket in self._wanted(name):
                 counts[bucket] += n
-        total = len(tokens)
         return {bucket: SCALE * math.sqrt(n / total) for bucket, n in counts.items() if n}
 
 

@@ -160,6 +160,19 @@ def test_quality_odd(spark, odd, empty, sf):
     assert quality.quality_report(empty, labels).count() == 0
 
 
+def test_quality_reads_all_of_a_long_token():
+    """Text without spaces: what stands late in it, at any offset, gives features as what stands first."""
+    known = quality.Featurizer()
+    random.seed(4)
+    plain = "".join(chr(0x4E00 + random.randrange(3000)) for _ in range(20_000))
+    for at in (100, 7_003, 19_990):
+        changed = known.features(plain[:at] + "毒毒語句毒" + plain[at:])
+        assert quality._bucket("w毒語句毒") in changed and changed != known.features(plain)
+    few = known.features("a b " + "x" * 65)
+    assert few[quality._bucket("wa")] == pytest.approx(3 * (1 / (2 + 62 / 4)) ** 0.5) and few[quality._bucket("wxxxx")] == pytest.approx(3 * (15.5 / 17.5) ** 0.5)
+    assert quality._bucket("w" + "x" * 64) in known.features("x" * 64)
+
+
 # sharding
 
 
