@@ -2,16 +2,17 @@
 
 Base spans are e-mail addresses, IPv4 addresses, payment card numbers and phone
 numbers, found by patterns over whole texts.  The values of these spans are the
-protected entities.  For each entity e and each term t in the words around it,
-corpus counts give
+protected entities.  For each entity e and each term t of the whole documents
+that hold it, corpus counts give
 
     PMI(e; t) = log2(n(e, t) N / (n(e) n(t)))    IC(e) = log2(N / n(e))
 
 (numbers of documents; N all documents, n(t) over the whole corpus).  PMI / IC
 is the share of e's information that t discloses; 1 means that t occurs only
-with e.  A term whose share reaches `remove` is removed beside that entity, one
-that reaches `generalise` is replaced by its class.  Terms with fewer than
-`support` common documents are no evidence.
+with e.  A term whose share reaches `remove` is removed from the documents that
+hold the entity, wherever it stands there, one that reaches `generalise` is
+replaced by its class.  Terms with fewer than `support` common documents are no
+evidence.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from gaussmill.llm.common import ROW, RID, col, is_empty, quoted, text_of, written
 from gaussmill.llm.decontaminate import let
 
-GENERALISE, REMOVE, SUPPORT, REACH = 0.8, 0.95, 3, 80
+GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 3
 
 #: Leftmost matches of each kind.  Possessive forms and look-behinds match what the plain patterns do, in linear time.
 PATTERNS = {
@@ -43,6 +44,8 @@ VALID = {
     "phone": f"length({DIGITS}) between 9 and 15",
 }
 VALUE = {"email": "lower(m)", "ip": "m", "card": DIGITS, "phone": DIGITS}
+#: The distinct words of a text, in lower case.
+WORDS = r"array_distinct(transform(filter(split(text, '[^\\p{L}]+'), x -> length(x) >= 3), x -> lower(x)))"
 #: A word that is no part of an address; and where a word may end.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?!\.?[\p{L}\p{N}@_%+-])"
 
@@ -61,27 +64,20 @@ def cumulative(values: str) -> str:
 
 
 def matches(text: str, pattern: str) -> str:
-    """SQL: array<struct<s, n, m, before, after>> of a pattern's matches: start and end in code points, match, text beside it."""
+    """SQL: array<struct<s, n, m>> of a pattern's matches: start and end in code points, match."""
     p = _literal(pattern)
     starts = "transform(ms, (x, i) -> length(ps[i]) + if(i > 0, length(ms[i - 1]), 0))"
-    whole = f"transform(ms, (m, i) -> struct(ss[i] as s, ss[i] + length(m) as n, m as m, right(ps[i], {REACH}) as before, left(ps[i + 1], {REACH}) as after))"
+    whole = f"transform(ms, (m, i) -> struct(ss[i] as s, ss[i] + length(m) as n, m as m))"
     return let("ms", f"regexp_extract_all({text}, {p}, 0)", let("ps", f"split({text}, {p}, -1)", let("ls", starts, let("ss", cumulative("ls"), whole))))
 
 
 def base_spans(kind: str) -> Column:
     """Valid spans of a kind in `text`; matches that fail are dropped, without another try inside them."""
-    found = f"transform(filter({matches('text', PATTERNS[kind])}, x -> {let('m', 'x.m', VALID[kind])}), x -> struct('{kind}' as kind, x.s as s, x.n as n, concat('{kind}:', {let('m', 'x.m', VALUE[kind])}) as e, x.before as before, x.after as after))"
-    empty = "cast(array() as array<struct<kind string, s int, n int, e string, before string, after string>>)"
+    found = f"transform(filter({matches('text', PATTERNS[kind])}, x -> {let('m', 'x.m', VALID[kind])}), x -> struct('{kind}' as kind, x.s as s, x.n as n, concat('{kind}:', {let('m', 'x.m', VALUE[kind])}) as e))"
+    empty = "cast(array() as array<struct<kind string, s int, n int, e string>>)"
     return F.expr(f"if({NEEDED[kind]}, {found}, {empty})")
 
 
-def _terms() -> Column:
-    """Words beside each base span: array<struct<e, t, s, n>>.  A word cut off by the reach is left out."""
-    left = f"transform(filter({matches('x.before', TERM)}, y -> y.s > 0 or length(x.before) < {REACH}), y -> struct(x.e as e, lower(y.m) as t, x.s - length(x.before) + y.s as s, x.s - length(x.before) + y.n as n))"
-    right = f"transform(filter({matches('x.after', TERM)}, y -> y.n < {REACH}), y -> struct(x.e as e, lower(y.m) as t, x.n + y.s as s, x.n + y.n as n))"
-    return F.expr(f"flatten(transform(base, x -> concat({left}, {right})))")
-
-
 def analyse(docs: DataFrame, text: str = "text", *, carry: list[str] | None = None, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
     """Rows (row, base, added), one for each input row: base spans, and spans of disclosing terms with their action.
 
@@ -90,21 +86,25 @@ def analyse(docs: DataFrame, text: str = "text", *, carry: list[str] | None = No
     """
     held = docs.columns if carry is None else carry
     rows = docs.select(F.struct(*[col(c) for c in held]).alias(ROW), text_of(text).alias("text"))
-    found = rows.select(ROW, F.monotonically_increasing_id().alias(RID), F.concat(*[base_spans(k) for k in PATTERNS]).alias("base"))
-    spans = written(found, "spans")
-    spans = written(spans.select(ROW, RID, F.expr("transform(base, x -> struct(x.kind, x.s, x.n))").alias("base"), F.array_distinct(F.expr("transform(base, x -> x.e)")).alias("entities"), _terms().alias("terms")), "terms")
-    around = spans.select(RID, F.explode("terms").alias("x")).select(RID, "x.*")
-    joint = written(around.select(RID, "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") >= support), "joint-counts")
+    found = rows.select(ROW, F.monotonically_increasing_id().alias(RID), F.concat(*[base_spans(k) for k in PATTERNS]).alias("base"), "text")
+    entities = F.array_distinct(F.expr("transform(base, x -> x.e)")).alias("entities")
+    spans = written(found.select(ROW, RID, F.expr("transform(base, x -> struct(x.kind, x.s, x.n))").alias("base"), entities, F.expr("if(size(base) > 0, text, null)").alias("text")), "spans")
+    total = spans.count()
+    each = spans.select(RID, F.explode("entities").alias("e"))
+    per_entity = written(each.groupBy("e").agg(F.count("*").alias("ne")).where(F.col("ne").between(support, total - 1)), "entities")
+    held = written(each.join(per_entity.select("e"), "e").select(RID, "e"), "held-entities")
+    sets = held.groupBy(RID).agg(F.collect_list("e").alias("es"))
+    pairs = spans.where("text is not null").select(RID, F.expr(WORDS).alias("ts")).join(sets, RID).select(F.explode("es").alias("e"), "ts").select("e", F.explode("ts").alias("t"))
+    joint = written(pairs.groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") >= support), "joint-counts")
     if is_empty(joint):
         return spans.select(ROW, "base", F.expr("cast(array() as array<struct<s int, n int, action string>>)").alias("added"))
-    total = spans.count()
-    per_entity = spans.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("ne"))
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("t")).groupBy("t").agg(F.count("*").alias("nt"))
+    words = rows.select(F.explode(F.expr(WORDS)).alias("t")).groupBy("t").agg(F.count("*").alias("nt"))
     share = F.log2(F.col("both") * total / (F.col("ne") * F.col("nt"))) / F.log2(total / F.col("ne"))
-    told = joint.join(per_entity, "e").join(words, "t").where(F.col("ne") < total).select("e", "t", F.when(share >= remove, "removed").when(share >= generalise, "generalised").alias("action")).where("action is not null")
+    told = joint.join(per_entity, "e").join(words, "t").select("e", "t", F.when(share >= remove, "removed").when(share >= generalise, "generalised").alias("action")).where("action is not null")
     told = written(told, "disclosing-terms")
-    added = around.join(told, ["e", "t"]).groupBy(RID, "s", "n").agg(F.max("action").alias("action"))
-    added = added.groupBy(RID).agg(F.sort_array(F.collect_list(F.struct("s", "n", "action"))).alias("added"))
+    masks = written(held.join(told, "e").groupBy(RID, "t").agg(F.max("action").alias("action")), "masks")
+    terms = spans.where("text is not null").join(masks.select(RID).distinct(), RID, "left_semi").select(RID, F.explode(F.expr(matches("text", TERM))).alias("x")).select(RID, F.lower("x.m").alias("t"), "x.s", "x.n")
+    added = terms.join(masks, [RID, "t"]).groupBy(RID).agg(F.sort_array(F.collect_list(F.struct("s", "n", "action"))).alias("added"))
     return spans.join(added, RID, "left").select(ROW, "base", F.coalesce("added", F.expr("cast(array() as array<struct<s int, n int, action string>>)")).alias("added"))
 
 

@@ -126,6 +126,37 @@ def test_octets_of_zero(spark):
     assert sum("[IP]" in r.text for r in privacy.sanitise(frame).collect()) == 8
 
 
+def plain_terms(rows, generalise=0.8, remove=0.95, support=3):
+    """Term spans by the definition, over whole texts."""
+    norm = {"email": str.lower, "ip": str, "card": lambda m: re.sub("[^0-9]", "", m), "phone": lambda m: re.sub("[^0-9]", "", m)}
+    spans = {i: [s.split(":") for s in plain_spans(t)] for i, t in rows}
+    held = {i: {(k, norm[k](t[int(a) : int(b)])) for k, a, b in spans[i]} for i, t in rows}
+    words = {i: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)} for i, t in rows}
+    out = {i: [] for i, _ in rows}
+    for i, t in rows:
+        for m in re.finditer(r"(?<![\w@.%+-])[^\W\d_]{3,}(?!\.?[\w@%+-])", t):
+            for e in held[i]:
+                ne, nt = sum(e in h for h in held.values()), sum(m.group().lower() in w for w in words.values())
+                both = sum(e in held[j] and m.group().lower() in words[j] for j in held)
+                if both >= support and ne < len(rows) and np.log2(both * len(rows) / (ne * nt)) / np.log2(len(rows) / ne) >= generalise - 1e-12:
+                    out[i].append(f"term:{m.start()}:{m.end()}")
+                    break
+    return out
+
+
+def test_disclosing_terms_of_whole_documents(spark):
+    far = " ".join(f"plain filler {k % 7}" for k in range(40))
+    rows = [(k, f"Quixotry began. {far} Write to ann@site.org or call 10.0.0.{k % 2} today. {far} Then QUIXOTRY, Mirador ended {far} Mirador") for k in range(5)]
+    rows += [(100 + k, f"Ordinary words, plain filler, write to call today then ended began {k}" + " mirador" * (k < 4)) for k in range(60)]
+    got = {r.doc_id: r for r in privacy.privacy_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_terms(rows)
+    for i, _ in rows:
+        assert [s for s in got[i].spans.split(",") if s.startswith("term")] == want[i] and got[i].n_term == len(want[i])
+    assert len(want[0]) == 2  # both Quixotry; Mirador also stands elsewhere
+    clean = {r.doc_id: r.text for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "quixotry" not in clean[0].lower() and "Mirador" in clean[0]
+
+
 # quality
 
 
