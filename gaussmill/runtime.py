@@ -41,12 +41,34 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+class Scratch:
+    """Tables that one piece of work keeps in the shared folder until it says that nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def new_path(self, name: str) -> str:
+        self.paths.append(f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
+    def written(self, df: DataFrame, name: str = "step") -> DataFrame:
+        """The same rows from a Parquet table in the shared folder: lineage ends here and outlives executors."""
+        path = self.new_path(name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep_last(self, count: int = 0) -> None:
+        """Delete all tables but the last `count`."""
+        gone, self.paths = (self.paths, []) if not count else (self.paths[:-count], self.paths[-count:])
+        for name in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: an iterative job's lineage ends here and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The same rows from a table of their own in the shared folder, which stays."""
+    return Scratch(df.sparkSession).written(df)
 
 
 class Timer:
