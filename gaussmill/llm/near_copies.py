@@ -5,21 +5,35 @@ in about ten bits, out of reach of masks that must agree exactly.  Here a
 fingerprint has 2,048 bits, each the sign of a signed sum over the distinct
 shingles of the whole text (a count sketch turned by Walsh-Hadamard steps), and
 the angle between two fingerprints gives the similarity of their texts, with a
-standard error of 0.02 at 0.8.  Pairs that it doesn't exclude are decided by
-their shingle sets, except those inside a component found so far.  Copies are texts with one digest of the sorted shingle set:
-fingerprints of few shingles are equal too often.
+standard error of 0.02 at 0.8.  Copies are texts with one digest of the sorted
+shingle set: fingerprints of few shingles are equal too often.
 
 Upper nodes of the index are parts of the shingle set: shingles fall by hash
 into as many cells as make two to four of them meet in one, and the contents of
 the first 24 cells are nodes.  Two texts of similarity 0.8 share all of a cell
 with a chance of 0.4 or more, so they have no node in common once in 300,000
 pairs.  Texts near a size limit are filed for both sizes.  Nodes with one
-document vanish before any fingerprint moves; nodes with too many are split by
-the document's next cells.
+document vanish before any fingerprint moves; those with more than `split` are
+dealt into parts by a hash of the id.
 
 Under a node, fingerprints in Gray order are compared with group leaders.  A
 group is skipped as a whole when the differences to its leader exceed twice the
 radius, since its members differ from the leader by no more than the radius.
+
+No step gives out pairs.  A node gives spanning links: sure ones, and the
+clusters that pairs which estimates can't exclude make.  Then
+
+1. one sure link of each text is compared by shingle sets; those that hold give
+   the first components;
+2. in clusters with several components, each text's most similar text of another
+   component is compared likewise, and components grow;
+3. what is still open is settled exactly.  Clusters that share a text form an
+   arena; its texts outside the arena's largest component are compared, set
+   against set, with all texts of the arena that belong to another component.
+   Arenas are dealt in blocks, so that a task holds two blocks and each further
+   block costs another copy of the fewer texts.  Parts of a split node are
+   brought together here: its texts outside the node's largest component travel
+   to every part.
 """
 
 from __future__ import annotations
@@ -30,7 +44,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaussmill.llm.common import ROW, RID, col, connected_components, is_empty, map_batches, quoted, slices, unpacked, written
@@ -114,57 +128,88 @@ def _reach(similarity: float) -> float:
     return np.arccos(2 * similarity / (1 + similarity)) / np.pi * BITS
 
 
-def group_links(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, roots: np.ndarray | None = None) -> list[tuple[int, int, bool]]:
-    """Links (a, b, sure) inside one node: sure ones span what they hold together, and every doubtful pair that they leave apart.
-
-    With `roots`, the components so far, no link is sure and every possible pair of two components is doubtful.
-    """
-    return [link for part in link_parts(ids, sizes, bits, similarity, roots) for link in zip(*(x.tolist() for x in part), strict=True)]
+def _columns(found: list[tuple], kinds: tuple) -> list[np.ndarray]:
+    return [np.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)] if found else [np.zeros(0, k) for k in kinds]
 
 
-def link_parts(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, roots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The links of group_links as arrays a, b and sure, a bounded number at a time; pairs wait for the end of the node as 32-bit numbers."""
+def node_links(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Of one node: sure links (a, b) that span what sure ones hold together; and (text, cluster) of the texts that possible pairs
+    hold together with others, a cluster named by one of its texts."""
     order = np.lexsort((ids, gray_rank(bits[:, 0])))
     ids, sizes, bits = ids[order], sizes[order].astype(float), bits[order]
-    sure, least, reach = similarity + SLACK if roots is None else np.inf, similarity - BELOW, 2 * _reach(similarity - BELOW)
-    label, group, leaders = np.arange(len(ids)) if roots is None else roots[order], np.zeros(len(ids), np.int64), [0]
-    out, doubtful = [], [np.zeros((2, 0), np.int32)]
+    sure, least, reach = similarity + SLACK, similarity - BELOW, 2 * _reach(similarity - BELOW)
+    held, might, group, leaders, out = np.arange(len(ids)), np.arange(len(ids)), np.zeros(len(ids), np.int64), [0], []
 
     def tie(i: int, others: np.ndarray, alike: np.ndarray) -> None:
         for j in others[alike >= sure].tolist():
-            if label[i] != label[j]:
-                label[label == label[i]] = label[j]
-                out.append((i, j))
+            if held[i] != held[j]:
+                held[held == held[i]] = held[j]
+                out.append((int(ids[i]), int(ids[j])))
+        for j in others[alike >= least].tolist():
+            if might[i] != might[j]:
+                might[might == might[i]] = might[j]
 
-    waiting = 0
     for i in range(1, len(ids)):
-        held = np.array(leaders)
-        alike, differ = similarities(bits[i], sizes[i], bits[held], sizes[held])
-        tie(i, held, alike)
-        inside = np.flatnonzero((differ <= reach)[group[:i]] & (label[:i] != label[i]))
+        first = np.array(leaders)
+        alike, differ = similarities(bits[i], sizes[i], bits[first], sizes[first])
+        tie(i, first, alike)
+        inside = np.flatnonzero((differ <= reach)[group[:i]] & (held[:i] != held[i]))
         if len(inside):
-            found = similarities(bits[i], sizes[i], bits[inside], sizes[inside])[0]
-            tie(i, inside, found)
-            open_ = inside[(found >= least) & (found < sure)]
-            open_ = open_[label[open_] != label[i]].astype(np.int32)
-            doubtful.append(np.stack([np.full_like(open_, i), open_]))
-            waiting += len(open_)
-            if waiting > 1 << 20 or len(doubtful) > 4096:
-                pairs = np.concatenate(doubtful, axis=1)
-                doubtful = [pairs[:, label[pairs[0]] != label[pairs[1]]]]  # sure links since then may hold them together
-                waiting = 0
+            tie(i, inside, similarities(bits[i], sizes[i], bits[inside], sizes[inside])[0])
         nearest = int(differ.argmin())
         if 2 * differ[nearest] <= reach:
             group[i] = nearest
         else:
             group[i] = len(leaders)
             leaders.append(i)
-    pairs = np.concatenate(doubtful, axis=1)
-    pairs = pairs[:, label[pairs[0]] != label[pairs[1]]]
-    for kind, (i, j) in ((True, np.array(out, np.int64).reshape(-1, 2).T), (False, pairs)):
-        for start in range(0, len(i), 1 << 16):
-            a, b = ids[i[start : start + (1 << 16)]], ids[j[start : start + (1 << 16)]]
-            yield a, b, np.full(len(a), kind)
+    several = np.flatnonzero(np.bincount(might, minlength=len(ids))[might] > 1)
+    return out, list(zip(ids[several].tolist(), ids[might[several]].tolist(), strict=True))
+
+
+def best_partners(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, roots: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text of a cluster outside its largest component, the most similar text of another component, if the pair is possible."""
+    common, counts = np.unique(roots, return_counts=True)
+    out = []
+    for i in np.flatnonzero(roots != common[counts.argmax()]).tolist():
+        others = np.flatnonzero(roots != roots[i])
+        found = similarities(bits[i], float(sizes[i]), bits[others], sizes[others].astype(float))[0]
+        if found.max() >= similarity - BELOW:
+            out.append((int(ids[i]), int(ids[others[found.argmax()]])))
+    return _columns(out, (np.int64, np.int64))
+
+
+def open_texts(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, roots: np.ndarray, few: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text, arena) of the texts in possible pairs of two components, one of the pair in `few`; an arena is named by one of its texts."""
+    label, touched = np.arange(len(ids)), np.zeros(len(ids), bool)
+    for i in np.flatnonzero(few).tolist():
+        others = np.flatnonzero(roots != roots[i])
+        found = others[similarities(bits[i], float(sizes[i]), bits[others], sizes[others].astype(float))[0] >= similarity - BELOW]
+        if len(found):
+            touched[i] = touched[found] = True
+            label[np.isin(label, label[found])] = label[i]
+    there = np.flatnonzero(touched)
+    return ids[there], ids[label[there]]
+
+
+def exact_links(ids: np.ndarray, roots: np.ndarray, few: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span what pairs (one of `few`, any text) of the similarity hold together beyond the components; by shingle sets."""
+    sizes = np.array([len(s) for s in sets])
+    codes = np.unique(np.concatenate([*sets, np.zeros(0, U64)]), return_inverse=True)[1]
+    ends = np.r_[0, np.cumsum(sizes)]
+    totals = lambda marks: np.r_[0, np.cumsum(marks[codes])]
+    label, out, marks = roots.copy(), [], np.zeros(int(codes.max()) + 1 if len(codes) else 1, np.int32)
+    for i in np.flatnonzero(few).tolist():
+        own = codes[ends[i] : ends[i + 1]]
+        marks[own] = 1
+        upto = totals(marks)
+        marks[own] = 0
+        common = upto[ends[1:]] - upto[ends[:-1]]
+        alike = (common >= similarity * (sizes + sizes[i] - common) - 1e-9) & (label != label[i])
+        for j in np.flatnonzero(alike).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((int(ids[i]), int(ids[j])))
+    return out
 
 
 def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -179,100 +224,143 @@ def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary()), nodes, digests], names=["id", "n", "bits", "nodes", "print"])
 
 
-def _links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Batches (node, id, n, bits) or (node, id, n, bits, root) sorted by node.  Holds one node at a time."""
-    rest: list[np.ndarray] = []
-
-    def links(parts: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        for start, end in zip(np.r_[0, ends[:-1]], ends, strict=True):
-            if end - start > 1:
-                for a, b, sure in link_parts(*(p[start:end] for p in parts[1:4]), similarity, *(p[start:end] for p in parts[4:])):
-                    held.append((np.full(len(a), parts[0][start]), a, b, sure))
-                    count += len(a)
-                    if count >= 1 << 16:
-                        yield batch_of(held)
-                        held, count = [], 0
-        if held:
-            yield batch_of(held)
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, work, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first `keys` columns: the columns that `work` makes of each group's other columns.  Holds one group at a time.
+
+    Binary columns reach `work` as lists, all others as arrays.
+    """
+    rest: list[pa.RecordBatch] = []
+
+    def columns_of(table: pa.Table) -> list:
+        plain = table.combine_chunks()
+        return [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in plain.columns[keys:]]
 
-    def batch_of(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["node", "a", "b", "sure"])
+    def made(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        held = [work(*columns_of(t)) for t in tables if t.num_rows > 1]
+        held = [h for h in held if len(h[0])]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[k] for h in held])) for k in range(len(names))], names=names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), U64).reshape(-1, BITS // 64)
-        columns = [bits if k == 3 else batch.column(k).to_numpy() for k in range(batch.num_columns)]
-        parts = [np.concatenate([r, c]) for r, c in zip(rest, columns, strict=True)] if rest else columns
-        ends = np.flatnonzero(np.diff(parts[0])) + 1
-        if len(ends):
-            yield from links(parts, ends)
-            rest = [p[ends[-1] :] for p in parts]
-        else:
-            rest = parts
-    if rest and len(rest[0]):
-        yield from links(rest, np.array([len(rest[0])]))
+        table = pa.Table.from_batches([*rest, batch])
+        key = [table.column(k).to_numpy() for k in range(keys)]
+        ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+        cuts = np.r_[0, ends]
+        for at in range(0, len(ends), 512):
+            yield from made([table.slice(s, e - s) for s, e in zip(cuts[at : at + 512], ends[at : at + 512], strict=False)])
+        rest = table.slice(int(cuts[-1])).to_batches()
+    if rest:
+        yield from made([pa.Table.from_batches(rest)])
+
+
+def _bits(held: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(held), U64).reshape(-1, BITS // 64)
+
+
+def _by_group(rows: DataFrame, keys: list[str], work, names: list[str], schema: str) -> DataFrame:
+    """`work` on the other columns of each group of rows, groups dealt by their keys."""
+    return map_batches(rows.repartition(*keys).sortWithinPartitions(*keys), lambda batches: _groups(batches, len(keys), work, names), schema)
 
 
 def filed_nodes(prints: DataFrame, split: int = SPLIT) -> DataFrame:
-    """Rows (node, id) of rows (id, nodes): the nodes with several documents, large ones split."""
-    cells = prints.select("id", F.posexplode("nodes").alias("at", "node"), "nodes")
+    """Rows (node, part, id) of rows (id, nodes): the nodes with several documents, those with more than `split` dealt into parts."""
+    cells = prints.select("id", F.explode("nodes").alias("node"))
     counts = written(cells.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "near-nodes")
-    filed = cells.select("id", "node").join(counts.where(F.col("c") <= split).select("node"), "node").select("node", "id")
-    hot = counts.where(F.col("c") > split).select("node")
-    if not is_empty(hot):
-        following = ", ".join(f"xxhash64(node, nodes[(at + {k}) % size(nodes)])" for k in range(1, NEXT + 1))
-        finer = written(cells.join(hot, "node").select("id", F.explode(F.array_distinct(F.expr(f"array({following})"))).alias("node")), "finer-cells")
-        kept = finer.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node")
-        filed = filed.unionByName(finer.join(kept, "node").select("node", "id"))
-    return filed
-
-
-def similar_links(filed: DataFrame, prints: DataFrame, similarity: float = SIMILARITY, roots: DataFrame | None = None) -> DataFrame:
-    """Rows (node, a, b, sure), with repeats, of rows (node, id) and (id, n, bits): see group_links."""
-    dealt = filed.join(prints.select("id", "n", "bits"), "id").select("node", "id", "n", "bits")
-    if roots is not None:
-        dealt = dealt.join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "id", "n", "bits", F.coalesce("root", "id").alias("root"))
-    return map_batches(dealt.repartition("node").sortWithinPartitions("node"), lambda batches: _links(batches, similarity), "node long, a long, b long, sure boolean")
-
-
-def _checked(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, text_a, text_b) those whose shingle sets have the similarity."""
+    part = F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("c") / split)).cast("int")
+    return cells.join(counts, "node").select("node", part.alias("part"), "id")
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (.., id, ..) with the root of id's component."""
+    return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _mixed_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows (.., id, root) of groups that hold several components."""
+    several = rows.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*keys)
+    return rows.join(several, keys)
+
+
+def _largest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each group of rows (.., root) the component with most texts, and how many texts there are in it and beside it."""
+    counts = rows.groupBy(*keys, "root").agg(F.count("*").alias("c"))
+    return counts.groupBy(*keys).agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("total"))
+
+
+def _checked(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, set_a, set_b) those whose shingle sets have the similarity."""
     for batch in batches:
         keep = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = shingle_hashes(a.as_py(), words), shingle_hashes(b.as_py(), words)
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
             common = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
 
-def _alike(pairs: DataFrame, light: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of rows (a, b) those whose texts have the similarity."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("b").alias("id")).union(pairs.select("a")).distinct()
-    texts = written(light.join(ids, "id"), "pair-texts")
-    for end in ("b", "a"):
-        pairs = pairs.join(texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")), end)
-    checked = map_batches(pairs.select("a", "b", "text_a", "text_b"), lambda b: _checked(b, words, similarity), "a long, b long")
-    return written(checked, "checked")
+def _sets(light: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """Rows (id, set) of the texts with these ids: the sorted shingle hashes."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1, 4 << 20):
+                sets = [shingle_hashes(t, words).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
-def _apart(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """The links between different components."""
-    for end in ("a", "b"):
-        links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    return links.where("coalesce(root_a, a) <> coalesce(root_b, b)").drop("root_a", "root_b")
+    return written(map_batches(light.join(ids.distinct(), "id").select("id", "text"), work, "id long, set binary"), "shingle-sets")
 
 
-def _joined(roots: DataFrame, pairs: DataFrame, light: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Components after the pairs (a, b) that have the similarity, too."""
-    open_ = written(_apart(pairs.distinct(), roots), "doubtful")
-    if is_empty(open_):
+def _grown(roots: DataFrame, pairs: DataFrame, light: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Components after those pairs (a, b) that have the similarity, too."""
+    pairs = written(pairs.distinct(), "pairs")
+    if is_empty(pairs):
+        return roots
+    sets = _sets(light, pairs.select(F.col("b").alias("id")).union(pairs.select("a")), words)
+    for end in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("set").alias(f"set_{end}")), end)
+    held = written(map_batches(pairs.select("a", "b", "set_a", "set_b"), lambda b: _checked(b, similarity), "a long, b long"), "checked")
+    return written(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(held)), "components")
+
+
+def _blocks(rows: DataFrame, keys: list[str], part: Column, size: int, *carry: str) -> DataFrame:
+    """Rows (keys, part, others, id, root, few, ..) of groups of rows (keys, id, root, ..): each part of a group with each block of its `few`,
+    those outside its largest component."""
+    sizes = _largest(rows, keys).select(*keys, "main", F.ceil((F.col("total") - F.col("most")) / size).cast("int").alias("blocks"), F.ceil(F.col("total") / size).cast("int").alias("parts"))
+    rows = rows.join(sizes, keys).withColumn("part", part).withColumn("few", F.col("root") != F.col("main"))
+    every = rows.select(*keys, "part", F.explode(F.expr("sequence(0, blocks - 1)")).alias("others"), "id", "root", F.lit(False).alias("few"), *carry)
+    few = rows.where("few").withColumn("others", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    few = few.select(*keys, F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "others", "id", "root", F.lit(True).alias("few"), *carry)
+    return every.unionByName(few)
+
+
+def _settled(roots: DataFrame, clusters: DataFrame, filed: DataFrame, prints: DataFrame, light: DataFrame, words: int, similarity: float, split: int) -> DataFrame:
+    """Components after every possible pair that clusters or split nodes still hold was compared by shingle sets."""
+    bits = prints.select("id", "n", "bits")
+    open_ = _mixed_groups(_with_roots(clusters, roots), ["node", "part", "cluster"])
+    open_ = open_.select(F.xxhash64("node", "part", "cluster").alias("node"), "id", "root")
+    split_nodes = filed.where("part > 0").select("node").distinct()
+    parts = _mixed_groups(_with_roots(filed.join(split_nodes, "node").select("node", "id"), roots), ["node"]).select("node", "id", "root")
+    dealt = _blocks(written(open_.unionByName(parts), "open-nodes"), ["node"], F.pmod(F.xxhash64("id", "node"), F.col("parts")).cast("int"), split)
+    found = _by_group(
+        dealt.join(bits, "id").select("node", "part", "others", "id", "n", "bits", "root", "few"), ["node", "part", "others"],
+        lambda i, n, b, r, few: open_texts(i, n, _bits(b), r, few, similarity), ["a", "b"], "a long, b long",
+    )
+    found = written(found.distinct(), "open-texts")
+    if is_empty(found):
         return roots
-    found = _alike(open_, light, words, similarity)
-    return written(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "components")
+    arenas = written(connected_components(found), "arenas")
+    arenas = arenas.select(F.col("node").alias("id"), F.col("root").alias("arena")).union(arenas.select("root", "root").distinct())
+    members = written(_with_roots(arenas, roots).select("arena", "id", "root"), "arena-texts")
+    dealt = _blocks(members, ["arena"], F.pmod(F.xxhash64("id", "arena"), F.col("parts")).cast("int"), max(1, split // 2))
+    dealt = dealt.join(_sets(light, members.select("id"), words), "id").select("arena", "part", "others", "id", "root", "few", "set")
+    links = _by_group(
+        dealt, ["arena", "part", "others"],
+        lambda i, r, few, sets: _columns(exact_links(i, r, few, [np.frombuffer(s, U64) for s in sets], similarity), (np.int64, np.int64)), ["a", "b"], "a long, b long",
+    )
+    links = written(links.distinct(), "exact-links")
+    return written(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "components")
 
 
 def near_components(light: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
@@ -282,18 +370,30 @@ def near_components(light: DataFrame, *, words: int = WORDS, similarity: float =
     first = written(named.groupBy("print").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c"), "equal-prints")
     copies = written(named.join(first, "print").where("id <> b").select(F.col("id").alias("a"), "b"), "copies")
     single = prints.join(copies.select(F.col("a").alias("id")), "id", "left_anti")
-    filed = filed_nodes(single, split)
-    links = written(similar_links(filed, single, similarity), "near-links")
-    pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    filed = written(filed_nodes(single, split), "filed")
+    bits = single.select("id", "n", "bits")
+
+    def links_of(node, part, i, n, b):
+        sure, clusters = node_links(i, n, _bits(b), similarity)
+        a, c = _columns(sure + clusters, (np.int64, np.int64))
+        return [np.full(len(a), node[0]), np.full(len(a), part[0]), a, c, np.arange(len(a)) < len(sure)]
+
+    dealt = filed.join(bits, "id").select("node", "part", F.col("node").alias("node_"), F.col("part").alias("part_"), "id", "n", "bits")
+    links = _by_group(dealt, ["node", "part"], links_of, ["node", "part", "a", "b", "sure"], "node long, part int, a long, b long, sure boolean")
+    links = written(links, "near-links")
     # one sure link of each text to a smaller id spans about what all sure links do
+    pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     spanning = links.where("sure").select(*pair).groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")).select("a", "b")
-    roots = written(connected_components(copies.union(_alike(spanning, light, words, similarity))), "sure-components")
-    roots = _joined(roots, links.select(*pair), light, words, similarity)
-    # where a sure link was wrong, pairs that it seemed to hold together were not listed
-    broken = written(_apart(links.where("sure"), roots).select("node").distinct(), "broken-nodes")
-    if is_empty(broken):
-        return roots
-    return _joined(roots, similar_links(filed.join(broken, "node"), single, similarity, roots).select(*pair), light, words, similarity)
+    roots = written(connected_components(copies), "components")
+    roots = _grown(roots, spanning, light, words, similarity)
+    clusters = links.where("not sure").select("node", "part", F.col("b").alias("cluster"), F.col("a").alias("id"))
+    open_ = _mixed_groups(_with_roots(clusters, roots), ["node", "part", "cluster"])
+    partners = _by_group(
+        open_.join(bits, "id").select("node", "part", "cluster", "id", "n", "bits", "root"), ["node", "part", "cluster"],
+        lambda i, n, b, r: best_partners(i, n, _bits(b), r, similarity), ["a", "b"], "a long, b long",
+    )
+    roots = _grown(roots, partners.select(*pair), light, words, similarity)
+    return _settled(roots, clusters, filed, single, light, words, similarity, split)
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

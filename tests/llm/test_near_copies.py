@@ -55,7 +55,7 @@ def test_components_equal_brute_force(spark):
     rows = corpus()
     frame = spark.createDataFrame(rows, "id long, text string")
     want = plain_roots(rows)
-    for split in (near_copies.SPLIT, 3):
+    for split in (near_copies.SPLIT, 7, 3):
         found = {r.node: r.root for r in near_copies.near_components(frame.selectExpr("id", "coalesce(text, '') as text"), split=split).collect()}
         assert {i: found.get(i, i) for i, _ in rows} == want
 
@@ -82,16 +82,26 @@ def test_one_node_holds_all_links():
             held[changed] = rng.integers(0, 2**63, changed.sum()).astype(np.uint64)
             sets.append(np.unique(held))
     alike = lambda i, j: (c := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - c)
-    found = near_copies.group_links(np.arange(240), np.array([len(s) for s in sets]), near_copies.fingerprints(sets), 0.8)
-    links = [(a, b) for a, b, sure in found if sure or alike(a, b)]
+    ids, sizes, bits = np.arange(240), np.array([len(s) for s in sets]), near_copies.fingerprints(sets)
 
     def roots(pairs):
         label = np.arange(240)
         for a, b in pairs:
             label[(label == label[a]) | (label == label[b])] = min(label[a], label[b])
-        return label.tolist()
-
-    assert roots(links) == roots([(i, j) for i, j in combinations(range(240), 2) if alike(i, j)])
+        return label
+
+    want = roots([(i, j) for i, j in combinations(range(240), 2) if alike(i, j)])
+    sure, clusters = near_copies.node_links(ids, sizes, bits, 0.8)
+    first, cluster = roots([(a, b) for a, b in sure if alike(a, b)]), dict(clusters)
+    assert len(sure) < 240 and len(clusters) <= 240 and len(set(first.tolist())) > len(set(want.tolist()))
+    assert all(cluster[i] == cluster[j] for i, j in combinations(range(240), 2) if want[i] == want[j])
+    few = first != np.bincount(first).argmax()
+    links = near_copies.exact_links(ids, first, few, sets, 0.8)
+    assert roots([*enumerate(first.tolist()), *links]).tolist() == want.tolist() and len(links) < 240
+    open_, arenas = near_copies.open_texts(ids, sizes, bits, first, few, 0.8)
+    assert {x for link in links for x in link} <= set(open_.tolist()) and len(open_) == len(arenas) <= 240
+    a, b = near_copies.best_partners(ids, sizes, bits, first, 0.8)
+    assert len(a) <= few.sum() and (first[a] != first[b]).all()
 
 
 def test_short_texts_with_one_fingerprint_are_no_copies(spark):
@@ -124,5 +134,29 @@ def test_wrong_sure_links_are_undone(spark):
         found = {r.node: r.root for r in near_copies.near_components(spark.createDataFrame(rows, "id long, text string")).collect()}
         assert {i: found.get(i, i) for i, _ in rows} == plain_roots(rows)
     ids, sizes = np.arange(2), np.array([80, 80])
-    assert near_copies.group_links(ids, sizes, bits, 0.8) == [(0, 1, True)] or near_copies.group_links(ids, sizes, bits, 0.8) == [(1, 0, True)]
-    assert [x[2] for x in near_copies.group_links(ids, sizes, bits, 0.8, ids)] == [False] and not near_copies.group_links(ids, sizes, bits, 0.8, ids * 0)
+    sure, clusters = near_copies.node_links(ids, sizes, bits, 0.8)
+    assert len(sure) == 1 and len({c for _, c in clusters}) == 1
+    assert not near_copies.exact_links(ids, ids, ids > 0, sets, 0.8) and len(near_copies.open_texts(ids, sizes, bits, ids * 0, ids > 0, 0.8)[0]) == 0
+
+
+def test_groups_larger_than_a_part(spark):
+    """Families whose cells are all in split nodes: a chain, where each text has the similarity with its neighbours alone, tight copies, and texts just too far."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for j in range(rng.choice((1, 2))):
+            words[rng.randrange(120)] = f"t{k}x{j}"
+        texts.append(" ".join(words))
+    chain = [f"c{k}" for k in range(400)]
+    texts += [" ".join(chain[6 * k : 6 * k + 100]) for k in range(40)]
+    for k in range(40):
+        words = list(base)
+        for j in range(3):
+            words[40 * j + rng.randrange(5, 35)] = f"f{k}x{j}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    found = {r.node: r.root for r in near_copies.near_components(spark.createDataFrame(rows, "id long, text string"), split=10).collect()}
+    assert {i: found.get(i, i) for i, _ in rows} == plain_roots(rows)
