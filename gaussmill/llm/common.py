@@ -12,17 +12,17 @@ Conventions that every operator of this subpackage follows:
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaussmill.runtime import shared_folder, ship_package
+from gaussmill.runtime import Scratch, ship_package
 
 ROW, RID = "row", "rid"
-_scratch: list[str] = []
+_scopes: list[Scratch] = []
 _held: dict = {}
 
 
@@ -34,18 +34,18 @@ def col(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _scratch.append(path)
-    return path
+@contextmanager
+def scratch(tables: Scratch) -> Iterator[Scratch]:
+    """Tables that operators write meanwhile belong to `tables`, and go when it says so; all others stay."""
+    _scopes.append(tables)
+    try:
+        yield tables
+    finally:
+        _scopes.pop()
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that operators wrote so far.  Only for when the results that read them have been written."""
-    jvm = spark._jvm
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def new_path(spark: SparkSession, name: str) -> str:
+    return (_scopes[-1] if _scopes else Scratch(spark)).new_path(name)
 
 
 def worker_cached(key, make: Callable):
