@@ -56,10 +56,19 @@ def worker_cached(key, make: Callable):
     return _held[key]
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write df once in the shared folder and read it from there: a lineage cut that outlives executors."""
+#: Rows for each task and file of a table whose number of rows is known to have a bound.
+ROWS_A_FILE = 500_000
+
+
+def written(df: DataFrame, name: str, path: str | None = None, *, most: int | None = None, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
+    """Write df once in the shared folder and read it from there: a lineage cut that outlives executors.
+
+    `most`, a bound of its rows, keeps a small table from being written as
+    hundreds of tiny files where adaptive coalescing is off.
+    """
     spark = df.sparkSession
     path = path or new_path(spark, name)
+    df = df if most is None else df.coalesce(-(-most // rows_a_file) or 1)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -101,8 +110,8 @@ def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Components of a graph given as rows (a long, b long): rows (node, root), root the smallest node of its component.
+def connected_components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Components of a graph given as rows (a long, b long), `most` at most if given: rows (node, root), root the smallest node of its component.
 
     Alternates large-star and small-star steps on written tables until every
     edge points from a node to its root.  Only a row count and a checksum reach
@@ -110,17 +119,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     input gives an empty result.
     """
     same = F.least("a", "b"), F.greatest("a", "b")
-    now = written(edges.where("a <> b").select(same[1].alias("u"), same[0].alias("v")).distinct(), "edges")
+    now = written(edges.where("a <> b").select(same[1].alias("u"), same[0].alias("v")).distinct(), "edges", most=most)
     seen = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
         if seen == tuple(state) or not state["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = tuple(state)
+        seen, most = tuple(state), 2 * state["n"]
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star")
+        large = written(large, "large-star", most=most)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = written(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
+        now = written(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star", most=most)

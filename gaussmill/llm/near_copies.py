@@ -47,11 +47,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaussmill.llm.common import ROW, RID, col, connected_components, is_empty, map_batches, quoted, slices, unpacked, written
+from gaussmill.llm.common import ROW, RID, col, connected_components, map_batches, quoted, slices, unpacked, written
 from gaussmill.llm.simhash import SEED, U64, gray_rank
 
 WORDS, SIMILARITY = 5, 0.8
-BITS, CELLS, LOOSE, SPLIT, NEXT = 2048, 24, 7, 1024, 6
+BITS, CELLS, LOOSE, SPLIT = 2048, 24, 7, 1024
+#: Rows that a task compares.
+ROWS_A_TASK = 20_000
 #: Estimates from SLACK above the limit on are sure enough to link, until their shingle sets are compared; those more than BELOW under it (four standard errors) are no links.
 SLACK, BELOW = 0.06, 0.08
 
@@ -259,9 +261,10 @@ def _bits(held: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(held), U64).reshape(-1, BITS // 64)
 
 
-def _by_group(rows: DataFrame, keys: list[str], work, names: list[str], schema: str) -> DataFrame:
-    """`work` on the other columns of each group of rows, groups dealt by their keys."""
-    return map_batches(rows.repartition(*keys).sortWithinPartitions(*keys), lambda batches: _groups(batches, len(keys), work, names), schema)
+def _by_group(rows: DataFrame, keys: list[str], work, names: list[str], schema: str, name: str, most: int) -> DataFrame:
+    """`work` on the other columns of each group of at most `most` rows, groups dealt by their keys; written."""
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return written(map_batches(dealt, lambda batches: _groups(batches, len(keys), work, names), schema), name, most=most, rows_a_file=ROWS_A_TASK)
 
 
 def filed_nodes(prints: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -300,8 +303,8 @@ def _checked(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
 
-def _sets(light: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """Rows (id, set) of the texts with these ids: the sorted shingle hashes."""
+def _sets(light: DataFrame, ids: DataFrame, words: int, most: int) -> DataFrame:
+    """Rows (id, set) of the texts with these ids, `most` at most: the sorted shingle hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -309,19 +312,25 @@ def _sets(light: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 sets = [shingle_hashes(t, words).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    return written(map_batches(light.join(ids.distinct(), "id").select("id", "text"), work, "id long, set binary"), "shingle-sets")
+    return written(map_batches(light.join(ids.distinct(), "id").select("id", "text"), work, "id long, set binary"), "shingle-sets", most=most, rows_a_file=ROWS_A_TASK // 4)
 
 
-def _grown(roots: DataFrame, pairs: DataFrame, light: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Components after those pairs (a, b) that have the similarity, too."""
-    pairs = written(pairs.distinct(), "pairs")
-    if is_empty(pairs):
+def _with(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Components after the pairs (a, b), too."""
+    most = roots.count() + pairs.count()
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(pairs), most)
+
+
+def _grown(roots: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Components after those of at most `most` pairs (a, b) that have the similarity, too."""
+    pairs = written(pairs.distinct(), "pairs", most=most)
+    count = pairs.count()
+    if not count:
         return roots
-    sets = _sets(light, pairs.select(F.col("b").alias("id")).union(pairs.select("a")), words)
     for end in ("b", "a"):
         pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("set").alias(f"set_{end}")), end)
-    held = written(map_batches(pairs.select("a", "b", "set_a", "set_b"), lambda b: _checked(b, similarity), "a long, b long"), "checked")
-    return written(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(held)), "components")
+    held = map_batches(pairs.select("a", "b", "set_a", "set_b"), lambda b: _checked(b, similarity), "a long, b long")
+    return _with(roots, written(held, "checked", most=count, rows_a_file=ROWS_A_TASK))
 
 
 def _blocks(rows: DataFrame, keys: list[str], part: Column, size: int, *carry: str) -> DataFrame:
@@ -335,32 +344,31 @@ def _blocks(rows: DataFrame, keys: list[str], part: Column, size: int, *carry: s
     return every.unionByName(few)
 
 
-def _settled(roots: DataFrame, clusters: DataFrame, filed: DataFrame, prints: DataFrame, light: DataFrame, words: int, similarity: float, split: int) -> DataFrame:
+def _settled(roots: DataFrame, clusters: DataFrame, split_nodes: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float, split: int) -> DataFrame:
     """Components after every possible pair that clusters or split nodes still hold was compared by shingle sets."""
     bits = prints.select("id", "n", "bits")
     open_ = _mixed_groups(_with_roots(clusters, roots), ["node", "part", "cluster"])
     open_ = open_.select(F.xxhash64("node", "part", "cluster").alias("node"), "id", "root")
-    split_nodes = filed.where("part > 0").select("node").distinct()
-    parts = _mixed_groups(_with_roots(filed.join(split_nodes, "node").select("node", "id"), roots), ["node"]).select("node", "id", "root")
-    dealt = _blocks(written(open_.unionByName(parts), "open-nodes"), ["node"], F.pmod(F.xxhash64("id", "node"), F.col("parts")).cast("int"), split)
+    parts = _mixed_groups(_with_roots(split_nodes, roots), ["node"]).select("node", "id", "root")
+    open_ = written(open_.unionByName(parts), "open-nodes", most=clusters.count() + split_nodes.count())
+    dealt = _blocks(open_, ["node"], F.pmod(F.xxhash64("id", "node"), F.col("parts")).cast("int"), split)
     found = _by_group(
         dealt.join(bits, "id").select("node", "part", "others", "id", "n", "bits", "root", "few"), ["node", "part", "others"],
-        lambda i, n, b, r, few: open_texts(i, n, _bits(b), r, few, similarity), ["a", "b"], "a long, b long",
+        lambda i, n, b, r, few: open_texts(i, n, _bits(b), r, few, similarity), ["a", "b"], "a long, b long", "open-texts", 2 * open_.count(),
     )
-    found = written(found.distinct(), "open-texts")
-    if is_empty(found):
+    count = found.count()
+    if not count:
         return roots
-    arenas = written(connected_components(found), "arenas")
+    arenas = connected_components(found, count)
     arenas = arenas.select(F.col("node").alias("id"), F.col("root").alias("arena")).union(arenas.select("root", "root").distinct())
-    members = written(_with_roots(arenas, roots).select("arena", "id", "root"), "arena-texts")
+    members = written(_with_roots(arenas, roots).select("arena", "id", "root"), "arena-texts", most=count)
     dealt = _blocks(members, ["arena"], F.pmod(F.xxhash64("id", "arena"), F.col("parts")).cast("int"), max(1, split // 2))
-    dealt = dealt.join(_sets(light, members.select("id"), words), "id").select("arena", "part", "others", "id", "root", "few", "set")
+    dealt = dealt.join(sets, "id").select("arena", "part", "others", "id", "root", "few", "set")
     links = _by_group(
         dealt, ["arena", "part", "others"],
-        lambda i, r, few, sets: _columns(exact_links(i, r, few, [np.frombuffer(s, U64) for s in sets], similarity), (np.int64, np.int64)), ["a", "b"], "a long, b long",
+        lambda i, r, few, sets: _columns(exact_links(i, r, few, [np.frombuffer(s, U64) for s in sets], similarity), (np.int64, np.int64)), ["a", "b"], "a long, b long", "exact-links", 4 * members.count(),
     )
-    links = written(links.distinct(), "exact-links")
-    return written(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "components")
+    return _with(roots, links)
 
 
 def near_components(light: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
@@ -379,21 +387,23 @@ def near_components(light: DataFrame, *, words: int = WORDS, similarity: float =
         return [np.full(len(a), node[0]), np.full(len(a), part[0]), a, c, np.arange(len(a)) < len(sure)]
 
     dealt = filed.join(bits, "id").select("node", "part", F.col("node").alias("node_"), F.col("part").alias("part_"), "id", "n", "bits")
-    links = _by_group(dealt, ["node", "part"], links_of, ["node", "part", "a", "b", "sure"], "node long, part int, a long, b long, sure boolean")
-    links = written(links, "near-links")
+    links = _by_group(dealt, ["node", "part"], links_of, ["node", "part", "a", "b", "sure"], "node long, part int, a long, b long, sure boolean", "near-links", filed.count())
+    count, changed = links.count(), copies.count()
     # one sure link of each text to a smaller id spans about what all sure links do
     pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     spanning = links.where("sure").select(*pair).groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")).select("a", "b")
-    roots = written(connected_components(copies), "components")
-    roots = _grown(roots, spanning, light, words, similarity)
+    roots = connected_components(copies, changed)
     clusters = links.where("not sure").select("node", "part", F.col("b").alias("cluster"), F.col("a").alias("id"))
+    split_nodes = filed.join(filed.where("part > 0").select("node").distinct(), "node").select("node", "id")
+    sets = _sets(light, clusters.select("id").union(split_nodes.select("id")), words, count + split_nodes.count())
+    roots = _grown(roots, spanning, sets, similarity, count)
     open_ = _mixed_groups(_with_roots(clusters, roots), ["node", "part", "cluster"])
     partners = _by_group(
         open_.join(bits, "id").select("node", "part", "cluster", "id", "n", "bits", "root"), ["node", "part", "cluster"],
-        lambda i, n, b, r: best_partners(i, n, _bits(b), r, similarity), ["a", "b"], "a long, b long",
+        lambda i, n, b, r: best_partners(i, n, _bits(b), r, similarity), ["a", "b"], "a long, b long", "partners", count,
     )
-    roots = _grown(roots, partners.select(*pair), light, words, similarity)
-    return _settled(roots, clusters, filed, single, light, words, similarity, split)
+    roots = _grown(roots, partners.select(*pair), sets, similarity, count)
+    return _settled(roots, clusters, split_nodes, single, sets, similarity, split)
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -407,10 +417,11 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     numbered = written(docs.select(F.struct(*[col(c) for c in docs.columns]).alias(ROW), F.monotonically_increasing_id().alias(RID)), "documents")
     light = numbered.select(F.col(RID).alias("id"), F.coalesce(F.col(f"{ROW}.{quoted(text)}").cast("string"), F.lit("")).alias("text"))
     roots = near_components(light, **options)
-    members = written(roots.select(F.col("node").alias("id"), "root").union(roots.select(F.col("root").alias("id"), "root").distinct()), "members")
+    members = roots.select(F.col("node").alias("id"), "root").union(roots.select(F.col("root").alias("id"), "root").distinct())
     ids = numbered.select(F.col(RID).alias("id"), F.col(f"{ROW}.{quoted(doc_id)}").alias("own"))
-    owned = written(members.join(ids, "id"), "owned")
+    most = 2 * roots.count()
+    owned = written(members.join(ids, "id"), "owned", most=most)
     order = F.struct(F.col("own").isNull().alias("none"), F.col("own"), F.col("id"))
-    best = written(owned.groupBy("root").agg(F.min(order).alias("best")).select("root", F.col("best.id").alias("stays")), "groups")
+    best = written(owned.groupBy("root").agg(F.min(order).alias("best")).select("root", F.col("best.id").alias("stays")), "groups", most=most)
     gone = owned.join(best, "root").where("id <> stays").select(F.col("id").alias(RID))
-    return unpacked(numbered.join(written(gone, "dropped"), RID, "left_anti"))  # the smaller side: whole rows move only if it is large
+    return unpacked(numbered.join(written(gone, "dropped", most=most), RID, "left_anti"))  # the smaller side: whole rows move only if it is large
