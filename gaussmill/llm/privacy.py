@@ -98,7 +98,7 @@ def analyse(docs: DataFrame, text: str = "text", *, carry: list[str] | None = No
     joint = written(pairs.groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") >= support), "joint-counts")
     if is_empty(joint):
         return spans.select(ROW, "base", F.expr("cast(array() as array<struct<s int, n int, action string>>)").alias("added"))
-    words = rows.select(F.explode(F.expr(WORDS)).alias("t")).groupBy("t").agg(F.count("*").alias("nt"))
+    words = rows.select(F.explode(F.expr(WORDS)).alias("t")).join(joint.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("nt"))
     share = F.log2(F.col("both") * total / (F.col("ne") * F.col("nt"))) / F.log2(total / F.col("ne"))
     told = joint.join(per_entity, "e").join(words, "t").select("e", "t", F.when(share >= remove, "removed").when(share >= generalise, "generalised").alias("action")).where("action is not null")
     told = written(told, "disclosing-terms")
