@@ -40,9 +40,7 @@ from gaussmill.llm.common import col, map_batches, new_path, slices, text_of, wo
 
 BLOCK, SHARD, PROBES, END = 64 << 10, 16 << 20, 7, b"\n"
 FOOTER, MAGIC = struct.Struct("<IIQQQQIQIB8s"), b"GMSST\x00\x01\x0a"
-MOST_PIECES = 700_000
-#: Latin-1 letters in lower case, numbers and white space, as the tokenizer classes them.
-LETTER, NUMBER, SPACE = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\x09-\x0d\x20\xa0"
+MOST_CHUNKS = 500_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -182,32 +180,43 @@ class ShardReader:
 
 
 class WordEncoder(dict):
-    """Texts to ids with the tokenizers library.  As a dict it keeps the ids of pieces already seen.
+    """Texts to ids with the tokenizers library.  As a dict it keeps the ids of chunks already seen.
 
-    The tokenizer lower-cases, splits and then merges inside each piece.  Texts
-    of Latin-1 characters, whose lower case changes no other character, are
-    split here as the tokenizer would split them.  White space ends every piece
-    too, so of other texts the chunks between white space are encoded alone.
+    The tokenizer lower-cases, splits and then merges inside each piece.  White
+    space ends every piece, so the chunks between white space are encoded alone.
+    Texts of Latin-1 characters, whose lower case changes no other character,
+    are lower-cased first.  When `MOST_CHUNKS` are held, they become the older
+    half, of which chunks still in use come back, and the half before is dropped.
     """
 
     def __init__(self, tokenizer, width: int):
         super().__init__()
-        self.tokenizer, self.width, self.kind = tokenizer, width, "<u2" if width == 2 else "<u4"
-        self.split = re.compile(rf"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBER}]|[^{LETTER}{NUMBER}{SPACE}]+").findall
+        self.tokenizer, self.width, self.kind, self.older = tokenizer, width, "<u2" if width == 2 else "<u4", {}
         self.space = re.compile(r"[\x20\x09-\x0D]+").split
-
-    def __missing__(self, piece: str) -> bytes:
-        made = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes() if piece else b""
-        if len(self) > MOST_PIECES:
+        self.separators = re.compile("[\x1c-\x1f\x85]").search
+
+    def __missing__(self, chunk: str) -> bytes:
+        made = self.older.get(chunk)
+        if made is None:
+            made = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes() if chunk else b""
+        if len(self) >= MOST_CHUNKS:
+            self.older = dict(self)
             self.clear()
-        if len(piece) < 64:
-            self[piece] = made
+        if len(chunk) < 64:
+            self[chunk] = made
         return made
 
+    def _plain(self, text: str) -> bool:
+        """Whether Python lower-cases and splits the text as the tokenizer does."""
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return "<|" not in text and not self.separators(text)
+
     def encode(self, text: str) -> bytes:
-        plain = text.isascii() or max(text) < "\u0100" and "\x85" not in text
-        if plain and "<|" not in text:
-            return b"".join(map(self.__getitem__, self.split(text.lower())))
+        if self._plain(text):
+            return b"".join(map(self.__getitem__, text.lower().split()))
         return b"".join(map(self.__getitem__, self.space(text)))
 
 
@@ -224,7 +233,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str | None = None,
     Null texts are empty (their ids are the end id alone).  A null id comes
     first.  Rows with one id are all kept, in the order of their texts' hashes,
     and may be split over partitions.  An empty table gives a folder without
-    shards.
+    shards.  `_manifest` in the folder lists the shards and their key ranges.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-shards")
@@ -256,25 +265,39 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str | None = None,
 
     shards = map_batches(rows, work, "value binary").select(F.col("value").cast("string").alias("value"))
     shards.write.option("maxRecordsPerFile", 1).option("lineSep", END.decode()).text(path)
+    _write_manifest(spark, path)
     return path
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (doc_id, start, ids): ids packed as unsigned 32-bit, start the number of ids of all documents before."""
-    files = _files(spark, path)
+def _write_manifest(spark: SparkSession, path: str) -> None:
+    """One row for each shard in the folder's `_manifest`: file, part, sequence, ids, first and last key."""
 
     def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [ShardReader(c.as_py()) for c in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([getattr(r, k) for r in found], pa.int64()) for k in ("part", "ids")], names=["part", "ids"])
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                r = ShardReader(data.as_py())
+                first = next(iter(r))[0]
+                values = ((name, pa.string()), (r.part, pa.int64()), (r.sequence, pa.int64()), (r.ids, pa.int64()), (first, pa.binary()), (r.last[-1], pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], names=["file", "part", "sequence", "ids", "first", "last"])
+
+    found = map_batches(_files(spark, path), footers, "file string, part long, sequence long, ids long, first binary, last binary")
+    found.coalesce(1).write.parquet(f"{path}/_manifest")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("file string, part long, sequence long, ids long, first binary, last binary").parquet(f"{path}/_manifest")
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (doc_id, start, ids): ids packed as unsigned 32-bit, start the number of ids of all documents before."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
+            for data in batch.column(1):
                 reader = ShardReader(data.as_py())
                 before = reader.before
                 for block in range(len(reader.blocks)):
@@ -284,19 +307,23 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                     columns = [pa.array([reader.part] * len(held), pa.int64()), pa.array([k for k, _ in held], pa.int64()), pa.array(starts[:-1], pa.int64()), pa.array([v.tobytes() for _, v in held], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "at", "ids"])
 
-    totals = map_batches(files, footers, "part long, ids long").groupBy("part").agg(F.sum("ids").alias("ids")).orderBy("part").collect()  # a row for each partition written
+    totals = manifest(spark, path).groupBy("part").agg(F.sum("ids").alias("ids")).orderBy("part").collect()  # a row for each partition written
     offsets, before = [], 0
     for t in totals:
         offsets.append((t["part"], before))
         before += t["ids"]
     offset = F.broadcast(spark.createDataFrame(offsets, "part long, offset long"))
-    found = map_batches(files, rows, "part long, doc_id long, at long, ids binary")
+    found = map_batches(_files(spark, path), rows, "part long, doc_id long, at long, ids binary")
     return found.join(offset, "part").select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
-    """Rows (doc_id, ids) of the wanted documents, by binary search in each shard whose Bloom filter may hold them."""
+    """Rows (doc_id, ids) of the wanted documents: shards whose key range may hold them, then Bloom filter and binary search in each."""
     keys = [(i, key_of(i)) for i in dict.fromkeys(doc_ids)]
+    sought = spark.createDataFrame([(bytearray(k),) for _, k in keys], "key binary")
+    files = [r["file"] for r in manifest(spark, path).join(F.broadcast(sought), F.col("key").between(F.col("first"), F.col("last"))).select("file").distinct().collect()]
+    if not files:
+        return spark.createDataFrame([], "doc_id long, ids binary")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,7 +332,7 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFra
                 found = [(i, reader.array(v).tobytes()) for i, k in keys for v in reader.lookup(k)]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([v for _, v in found], pa.binary())], names=["doc_id", "ids"])
 
-    return map_batches(_files(spark, path), work, "doc_id long, ids binary")
+    return map_batches(spark.read.format("binaryFile").load(files).select("content"), work, "doc_id long, ids binary")
 
 
 def shard_report(docs: DataFrame, tokenizer_path: str) -> DataFrame:
