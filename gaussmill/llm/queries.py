@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gaussmill.llm import line_dedup, sharding
@@ -44,10 +45,38 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate_report(table(spark, sf_dir, "pages"))
 
 
+#: Schemas of the tools that `replay` calls.
+TOOLS = {
+    "measure": {"type": "object", "properties": {"chars": {"type": "integer"}, "lang": {"type": ["string", "null"]}}, "required": ["chars"], "additionalProperties": False},
+    "look": {"type": "object", "properties": {"turn": {"type": "integer"}, "mode": {"enum": ["fast", "full"]}}, "required": ["turn"], "additionalProperties": False},
+}
+
+
+def replay(messages: DataFrame) -> DataFrame:
+    """The table's conversations as tool calls: the table itself holds none.
+
+    Conversation c becomes -1 - c.  The user's message of turn t calls c<t> and
+    waits for the result of c<t-2>; the assistant's of turn t is the result of
+    c<t-1>.  In every fourth conversation turns run backwards, so that order
+    comes from the links alone.  In every fifth, call c2 is named x2, so that it
+    has no result and its result no call.  Some arguments break their schema: texts of odd
+    length give `chars` as a string, turns from 4 on an unknown mode.
+    """
+    turn = F.expr("if(conv_id % 4 = 0, -turn, turn)").alias("turn")
+    arguments = F.expr("""if(turn < 2, concat('{"chars":', if(length(text) % 2 = 1, concat('"', length(text), '"'), string(length(text))), ',"lang":null}'),
+        concat('{"mode":"', if(turn < 4, 'fast', 'slow'), '","turn":', turn, '}'))""")
+    call = F.concat(F.lit('{"tool_calls":[{"id":"'), F.expr("if(conv_id % 5 = 1 and turn = 2, 'x', 'c')"), F.col("turn"), F.expr("""if(turn < 2, '","name":"measure"', '","name":"look"')"""), F.lit(',"after":["c'), F.expr("turn - 2"), F.lit('"],"arguments":'), arguments, F.lit("}]}"))
+    result = F.concat(F.lit('{"tool_call_id":"c'), F.expr("turn - 1"), F.lit('","content":'), F.length("text"), F.lit("}"))
+    held = messages.where("role in ('user', 'assistant') and text is not null and turn is not null and conv_id is not null")
+    return held.select((-1 - F.col("conv_id")).alias("conv_id"), turn, F.expr("if(role = 'user', 'assistant', 'tool')").alias("role"), F.when(F.col("role") == "user", call).otherwise(result).alias("text"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's messages, and their replay as tool calls."""
     from gaussmill.llm.chat import format_messages
 
-    return format_messages(table(spark, sf_dir, "conversations"))
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return format_messages(messages.unionByName(replay(messages)), TOOLS)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +131,43 @@ def oracle_sql() -> dict[str, str]:
             e AS (SELECT DISTINCT page_id, host, unnest(lines) AS line FROM p),
             n AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
             d AS (SELECT e.host, e.line FROM e JOIN n ON e.host = n.host GROUP BY e.host, e.line, n.pages
-                  HAVING n.pages >= {line_dedup.LEAST_PAGES} AND count(*) / n.pages > {line_dedup.RATIO}),
+                  HAVING n.pages >= {line_dedup.LEAST_PAGES} AND count(*) >= {line_dedup.LEAST_REPEATS} AND count(*) / n.pages > {line_dedup.RATIO}),
             g AS (SELECT e.page_id, list(e.line) AS gone FROM e JOIN d ON e.host = d.host AND e.line = d.line GROUP BY e.page_id),
             k AS (SELECT p.page_id, p.host, p.lines, CASE WHEN g.gone IS NULL THEN p.lines ELSE list_filter(p.lines, lambda x: NOT list_contains(g.gone, x)) END AS kept FROM p LEFT JOIN g ON p.page_id = g.page_id)
             SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(kept) AS BIGINT) AS n_kept, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256 FROM k""",
         "op6_chat_formatting": """
+            WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, CASE WHEN conv_id % 4 = 0 THEN -turn ELSE turn END AS place FROM conversations),
+            calls AS (SELECT * FROM m WHERE role = 'user' AND text IS NOT NULL), results AS (SELECT * FROM m WHERE role = 'assistant' AND text IS NOT NULL),
+            firsts AS (SELECT conv_id, turn, min(place) AS place FROM calls GROUP BY conv_id, turn), answers AS (SELECT conv_id, turn - 1 AS turn, min(place) AS place FROM results GROUP BY conv_id, turn),
+            pairs AS (SELECT f.conv_id, f.turn FROM firsts f JOIN answers a ON f.conv_id = a.conv_id AND f.turn = a.turn AND NOT (f.conv_id % 5 = 1 AND f.turn = 2)),
+            nodes AS (SELECT conv_id, turn, 'call' AS what, place FROM firsts UNION ALL SELECT conv_id, turn, 'result', place FROM answers),
+            up AS (SELECT n.*, CASE WHEN n.what = 'result' THEN o.turn ELSE e.turn END AS up_turn, CASE WHEN n.what = 'result' THEN 'call' ELSE 'result' END AS up_what
+                   FROM nodes n LEFT JOIN pairs o ON n.conv_id = o.conv_id AND n.turn = o.turn LEFT JOIN pairs e ON n.conv_id = e.conv_id AND n.turn - 2 = e.turn),
+            o AS (SELECT conv_id, turn, what, place, place AS order_turn, 0 AS depth FROM up WHERE up_turn IS NULL
+                  UNION ALL SELECT u.conv_id, u.turn, u.what, u.place, greatest(u.place, o.order_turn), CASE WHEN o.order_turn >= u.place THEN o.depth + 1 ELSE 0 END
+                  FROM up u JOIN o ON u.conv_id = o.conv_id AND u.up_turn = o.turn AND u.up_what = o.what),
+            c AS (SELECT o.*, t.text, p.turn IS NOT NULL AS answered, CASE WHEN t.turn < 2 THEN length(t.text) % 2 = 1 ELSE t.turn >= 4 END AS broken,
+                  CASE WHEN t.turn < 2 THEN '{"chars":' || CASE WHEN length(t.text) % 2 = 1 THEN '"' || length(t.text) || '"' ELSE CAST(length(t.text) AS VARCHAR) END || ',"lang":null}'
+                  ELSE '{"mode":"' || CASE WHEN t.turn < 4 THEN 'fast' ELSE 'slow' END || '","turn":' || t.turn || '}' END AS arguments
+                  FROM o JOIN calls t ON o.what = 'call' AND o.conv_id = t.conv_id AND o.turn = t.turn LEFT JOIN pairs p ON o.conv_id = p.conv_id AND o.turn = p.turn)
             SELECT conv_id, turn, turn AS order_turn, CAST(0 AS INTEGER) AS depth, 'plain' AS kind, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_problems,
                    '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS message
-            FROM conversations""",
+            FROM conversations
+            UNION ALL SELECT -1 - conv_id, place, order_turn, CAST(depth AS INTEGER), 'calls', 1, CAST(broken AS BIGINT), '{"role":"assistant","tool_calls":[{"arguments":' || arguments || ',"id":"' || CASE WHEN conv_id % 5 = 1 AND turn = 2 THEN 'x' ELSE 'c' END || turn || '","name":"'
+                   || CASE WHEN turn < 2 THEN 'measure"' ELSE 'look"' END || CASE WHEN NOT broken THEN '' WHEN turn < 2 THEN ',"problems":["$.chars: not of type integer"]' ELSE ',"problems":["$.mode: not in enum"]' END
+                   || ',"status":"' || CASE WHEN answered THEN 'answered' ELSE 'unanswered' END || '"}]}' FROM c
+            UNION ALL SELECT -1 - o.conv_id, o.place, o.order_turn, CAST(o.depth AS INTEGER), 'result', 0, CASE WHEN p.turn IS NULL THEN 1 ELSE 0 END, '{"content":' || length(r.text) || ',"role":"tool","status":"'
+                   || CASE WHEN p.turn IS NULL THEN 'orphan' ELSE 'linked' END || '","tool_call_id":"c' || o.turn || '"}'
+            FROM o JOIN results r ON o.what = 'result' AND o.conv_id = r.conv_id AND o.turn = r.turn - 1 LEFT JOIN pairs p ON o.conv_id = p.conv_id AND o.turn = p.turn""",
+        "op10_decontamination": r"""
+            WITH RECURSIVE s AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper, 'abcdefghijklmnopqrstuvwxyz' AS lower, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS word),
+            i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS id, regexp_extract_all(translate(coalesce(text, ''), upper, lower), word) AS w FROM benchmark, s),
+            d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), upper, lower), word) AS w FROM documents, s),
+            iw AS (SELECT DISTINCT id, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM i WHERE len(w) > 0)),
+            dw AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT d.r, d.w, l.n, unnest(range(1, len(d.w) - l.n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) l)),
+            h AS (SELECT dw.r, dw.n, dw.k, iw.id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+            p AS (SELECT r, count(DISTINCT at_) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS at_ FROM (SELECT DISTINCT r, n, k FROM h)) GROUP BY r),
+            o AS (SELECT r, list(DISTINCT id ORDER BY id) AS ids FROM h GROUP BY r)
+            SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(p.n_hit, 0) AS n_hit, CAST(coalesce(len(o.ids), 0) AS BIGINT) AS n_items,
+                   sha256(coalesce(array_to_string(o.ids, ','), '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p ON d.r = p.r LEFT JOIN o ON d.r = o.r""",
     }

@@ -241,6 +241,28 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty, F.col("text"), F.col("text")).count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 5])
+def test_line_dedup_by_host_size(spark, bits):
+    """Hosts of 1, 2, 3, 4, 10 and 40 pages at the defaults against the definition, also with keys that many lines share."""
+    random.seed(9)
+    pages = []
+    for n in (1, 2, 3, 4, 10, 40):
+        for k in range(n):
+            lines = [f"own {n} {k}", "menu", "menu", "\u00e9 footer " + "x" * 3000] + [f"some {j}" for j in range(12) if random.random() < j / 12]
+            random.shuffle(lines)
+            pages.append((len(pages), f"https://h{n}.example/{k}", "\n".join(lines)))
+    pages.append(pages[-1])
+    want = {}
+    for i, u, t in pages:
+        own = [x[2].split("\n") for x in pages if x[1].split("/")[2] == u.split("/")[2]]
+        share = {line: sum(line in p for p in own) for line in set(t.split("\n"))}
+        want[i] = [line for line in t.split("\n") if len(own) < 3 or share[line] < 2 or share[line] / len(own) <= 0.3]
+    frame = spark.createDataFrame([(*p, "clash", 7) for p in pages], "page_id long, url string, text string, key string, rid int")
+    got = line_dedup.dedup_lines(frame, F.col("url"), F.col("text"), key_bits=bits).collect()
+    assert len(got) == len(pages) and all(r.kept == want[r["row"].page_id] and r["row"].key == "clash" for r in got)
+    assert all(f"own {n} {k}" in want[i] for i, (n, k) in enumerate((n, k) for n in (1, 2, 3, 4, 10, 40) for k in range(n)))
+
+
 # chat
 
 
@@ -267,6 +289,55 @@ def test_chat(spark):
         assert r.message == chat.canonical(json.loads(r.message))
 
 
+def plain_order(turns, edges):
+    """Order turn and depth by the definition, source by source; messages on or below cycles keep their turn."""
+    up, out = {}, {}
+    for a, b in edges:
+        if a != b:
+            up.setdefault(b, set()).add(a)
+    while True:
+        ready = [v for v in turns if v not in out and all(u in out for u in up.get(v, ()))]
+        if not ready:
+            return {v: out.get(v, (turns[v], 0)) for v in turns}
+        for v in ready:
+            last = max((out[u] for u in up.get(v, ())), default=None)
+            out[v] = (turns[v], 0) if last is None or last[0] < turns[v] else (last[0], last[1] + 1)
+
+
+def test_order_of_long_chains_and_cycles(spark):
+    rng = random.Random(8)
+    turns = {k: rng.randrange(400) for k in range(900)}
+    edges = [(k, k + 1) for k in range(299)]  # one chain of 300
+    edges += [(rng.randrange(300, k), k) for k in range(301, 700)] + [(rng.randrange(300, k), k) for k in range(301, 700) if k % 9 == 0]
+    edges += [(700 + k, 700 + (k + 1) % 50) for k in range(50)] + [(700, 800), (800, 801), (802, 802), (803, 804), (801, 804)]
+    nodes = spark.createDataFrame([*turns.items()], "rid long, turn long")
+    got = {r.rid: (r.order_turn, r.depth) for r in chat.ordered(nodes, spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == plain_order(turns, edges)
+
+
+def test_chat_odd_inputs(spark, empty):
+    big = "9" * 400
+    call = '{"tool_calls":[{"id":"%s","name":"f","arguments":%s}]}'
+    rows = [
+        (1, 0, "assistant", call % ("\\ud800", '{"x":"\\ud83d\\ude00 \\udc00"}')), (1, 1, "tool", '{"tool_call_id":"\\ud800","content":"\\ud800"}'), (1, 2, "assistant", call % ("n", '{"x":NaN}')),
+        (1, 3, "assistant", call % ("b", '{"y":%s}' % big)), (1, 4, "assistant", call % ("i", '{"y":1e999}')), (1, 5, "tool", '{"tool_call_id":"b","content":' + "[" * 5000 + "]" * 5000 + "}"),
+        (1, 6, "assistant", '{"tool_calls":[{"id":"w","name":"f","arguments":"[NaN","after":"b"}]}'), (1, 7, "assistant", call % ("b", "{}")), (1, 7, "assistant", call % ("b", "{}")), (1, None, "tool", '{"tool_call_id":"w"}'),
+        (2, 0, "user", "long " * 200_000), (2, 0, "user", "long " * 200_000),
+    ]
+    frame = spark.createDataFrame([(*r, "x", 5) for r in rows], "conv_id long, turn long, role string, text string, kind string, rid int")
+    schema = {"f": {"type": ["object", "null"], "properties": {"x": {"type": ["string", "null"]}, "y": {"type": "integer"}}, "additionalProperties": {"type": "null"}}}
+    out = chat.format_messages(frame, schema).collect()
+    assert len(out) == len(rows)
+    by = {(r.conv_id, r.turn): r for r in out if (r.conv_id, r.turn) not in ((1, 7), (2, 0))}
+    first = json.loads(by[1, 0].message)["tool_calls"][0]
+    assert first == {"arguments": {"x": "\U0001f600 \ufffd"}, "id": "\ufffd", "name": "f", "status": "answered"} and json.loads(by[1, 1].message)["status"] == "linked"
+    assert by[1, 2].kind == by[1, 4].kind == by[1, 5].kind == "plain" and by[1, 3].n_problems == 0 and big in by[1, 3].message
+    assert json.loads(by[1, 6].message)["tool_calls"][0]["arguments"] == "[NaN" and by[1, 6].n_problems == 1 and by[1, None].n_problems == 0
+    assert [r.n_problems for r in out if (r.conv_id, r.turn) == (1, 7)] == [1, 1] and sum(len(r.message) > 1_000_000 for r in out) == 2
+    assert chat.format_messages(frame.where("false")).count() == 0
+    assert chat.problems(1, True) == [] and chat.problems(1, False) == ["$: not allowed"] and chat.problems(True, {"enum": [1]}) == ["$: not in enum"]
+
+
 def test_schema_checks():
     s = {"type": "object", "properties": {"n": {"type": "array", "items": {"type": "number"}}, "e": {"enum": ["a"]}}, "additionalProperties": False}
     assert chat.problems({"n": [1, 2.5], "e": "a"}, s) == []
