@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from gaussmill.functions.basis import coordinates
 from gaussmill.functions.kernels import Kernel, Matern
 from gaussmill.operators.pairs import correlation, mirrored, scales, taper_threshold
-from gaussmill.runtime import checkpointed, ship_package
+from gaussmill.operators import solvers
+from gaussmill.operators.solvers import Packed
+from gaussmill.runtime import Scratch, checkpointed, ship_package
 
 MOST_DENSE, LARGE_ETA = 3000, 1e16
 METHODS = ("eigenvalue", "cholesky", "hutchinson", "slq")
@@ -75,15 +77,18 @@ def matrix_derivatives(kernel: Kernel, x: np.ndarray, scale: list[float], order:
     return out
 
 
-def product(upper: DataFrame, vector: DataFrame, names: list[str]) -> DataFrame:
-    """K v for the columns `names` of rows (i, ...): each stored entry serves both triangles, and rows are summed before the shuffle."""
-    full = mirrored(upper.select("i", "j", "v"))
+def product(upper: DataFrame, vector: DataFrame, names: list[str], whole: bool = False) -> DataFrame:
+    """K v for the columns `names` of rows (i, ...): each stored entry serves both triangles, and rows are summed before the shuffle.
+
+    With `whole`, the entries are of both triangles already.
+    """
+    full = upper if whole else mirrored(upper.select("i", "j", "v"))
     moved = full.join(vector.withColumnRenamed("i", "j"), "j")
     return moved.groupBy("i").agg(*[F.sum(F.col("v") * F.col(c)).alias(c) for c in names])
 
 
-def shifted_product(upper: DataFrame, vector: DataFrame, names: list[str], eta: float) -> DataFrame:
-    kv = product(upper, vector, names).select("i", *[F.col(c).alias(f"k_{c}") for c in names])
+def shifted_product(upper: DataFrame, vector: DataFrame, names: list[str], eta: float, whole: bool = False) -> DataFrame:
+    kv = product(upper, vector, names, whole).select("i", *[F.col(c).alias(f"k_{c}") for c in names])
     return vector.join(kv, "i", "left").select("i", *[(F.coalesce(f"k_{c}", F.lit(0.0)) + eta * F.col(c)).alias(c) for c in names])
 
 
@@ -93,22 +98,25 @@ def conjugate_gradient(upper: DataFrame, rhs: DataFrame, names: list[str], eta:
     Stops when every residual is below tol times its right side's norm, and
     raises if that does not happen within `most` steps.
     """
-    upper = checkpointed(upper.select("i", "j", "v"))
+    held, steps = Scratch(rhs.sparkSession), Scratch(rhs.sparkSession)
+    upper = held.written(mirrored(upper.select("i", "j", "v")))
     state = rhs.select("i", *[F.lit(0.0).alias(f"u_{c}") for c in names], *[F.col(c).cast("double").alias(f"r_{c}") for c in names], *[F.col(c).cast("double").alias(f"p_{c}") for c in names])
-    state = checkpointed(state)
+    state = steps.written(state)
     dot = lambda a, b: [F.sum(F.col(f"{a}_{c}") * F.col(f"{b}_{c}")) for c in names]
     first = rr = np.array(state.agg(*dot("r", "r")).first(), float)
     for _ in range(most):
         if (rr <= tol * tol * first).all():
+            held.keep_last(0)
             return state.select("i", *[F.col(f"u_{c}").alias(c) for c in names])
-        ap = shifted_product(upper, state.select("i", *[F.col(f"p_{c}") for c in names]), [f"p_{c}" for c in names], eta)
-        both = checkpointed(state.join(ap.select("i", *[F.col(f"p_{c}").alias(f"q_{c}") for c in names]), "i"))
+        ap = shifted_product(upper, state.select("i", *[F.col(f"p_{c}") for c in names]), [f"p_{c}" for c in names], eta, True)
+        both = steps.written(state.join(ap.select("i", *[F.col(f"p_{c}").alias(f"q_{c}") for c in names]), "i"))
         pq = np.array(both.agg(*dot("p", "q")).first(), float)
         step = np.where(pq > 0, rr / np.where(pq > 0, pq, 1.0), 0.0)
         moved = both.select("i", *[(F.col(f"u_{c}") + float(a) * F.col(f"p_{c}")).alias(f"u_{c}") for c, a in zip(names, step, strict=True)], *[(F.col(f"r_{c}") - float(a) * F.col(f"q_{c}")).alias(f"r_{c}") for c, a in zip(names, step, strict=True)], *[F.col(f"p_{c}") for c in names])
         new = np.array(moved.agg(*dot("r", "r")).first(), float)
         grow = np.where(rr > 0, new / np.where(rr > 0, rr, 1.0), 0.0)
-        state = checkpointed(moved.select("i", *[F.col(f"u_{c}") for c in names], *[F.col(f"r_{c}") for c in names], *[(F.col(f"r_{c}") + float(g) * F.col(f"p_{c}")).alias(f"p_{c}") for c, g in zip(names, grow, strict=True)]))
+        state = steps.written(moved.select("i", *[F.col(f"u_{c}") for c in names], *[F.col(f"r_{c}") for c in names], *[(F.col(f"r_{c}") + float(g) * F.col(f"p_{c}")).alias(f"p_{c}") for c, g in zip(names, grow, strict=True)]))
+        steps.keep_last(1)
         rr = new
     raise ArithmeticError("conjugate gradients did not converge; the tapered matrix may not be positive definite")
 
@@ -130,18 +138,19 @@ def hutchinson_traceinv(upper: DataFrame, points: DataFrame, eta: float, count:
 
 def slq_logdet(upper: DataFrame, points: DataFrame, eta: float, count: int = 20, degree: int = 20, seed: int = 0, function: Callable = np.log) -> tuple[float, float]:
     """tr f(K + eta I), f the logarithm by default, by stochastic Lanczos quadrature; and its standard error."""
-    upper = checkpointed(upper.select("i", "j", "v"))
+    held, steps = Scratch(points.sparkSession), Scratch(points.sparkSession)
+    upper = held.written(mirrored(upper.select("i", "j", "v")))
     names = [f"s{k}" for k in range(count)]
     n = points.count()
     root = math.sqrt(n)
-    q = checkpointed(probes(points, count, seed).select("i", *[(F.col(c) / root).alias(c) for c in names]))
+    q = steps.written(probes(points, count, seed).select("i", *[(F.col(c) / root).alias(c) for c in names]))
     before, alphas, betas = None, [], []
     for step in range(min(degree, n)):
-        w = shifted_product(upper, q, names, eta).select("i", *[F.col(c).alias(f"w_{c}") for c in names])
+        w = shifted_product(upper, q, names, eta, True).select("i", *[F.col(c).alias(f"w_{c}") for c in names])
         both = q.join(w, "i")
         if before is not None:
             both = both.join(before, "i").select("i", *names, *[(F.col(f"w_{c}") - float(b) * F.col(f"b_{c}")).alias(f"w_{c}") for c, b in zip(names, betas[-1], strict=True)])
-        both = checkpointed(both)
+        both = steps.written(both)
         alpha = np.array(both.agg(*[F.sum(F.col(c) * F.col(f"w_{c}")) for c in names]).first(), float)
         alphas.append(alpha)
         rest = both.select("i", *names, *[(F.col(f"w_{c}") - float(a) * F.col(c)).alias(f"w_{c}") for c, a in zip(names, alpha, strict=True)])
@@ -150,7 +159,10 @@ def slq_logdet(upper: DataFrame, points: DataFrame, eta: float, count: int = 20,
         if (beta < 1e-12).any() or step == min(degree, n) - 1:
             break
         before = rest.select("i", *[F.col(c).alias(f"b_{c}") for c in names])
-        q = checkpointed(rest.select("i", *[(F.col(f"w_{c}") / float(b)).alias(c) for c, b in zip(names, beta, strict=True)]))
+        q = steps.written(rest.select("i", *[(F.col(f"w_{c}") / float(b)).alias(c) for c, b in zip(names, beta, strict=True)]))
+        steps.keep_last(4)
+    held.keep_last(0)
+    steps.keep_last(0)
     got = []
     for k in range(count):
         t = np.diag([a[k] for a in alphas]) + np.diag([b[k] for b in betas[: len(alphas) - 1]], 1) + np.diag([b[k] for b in betas[: len(alphas) - 1]], -1)
@@ -200,7 +212,7 @@ class Covariance:
             raise ValueError("sigma and sigma0 are not set")
         return float(a), float(b)
 
-    def get_imate_options(self) -> dict:
+    def get_options(self) -> dict:
         return dict(self.options)
 
     def with_options(self, **options) -> Covariance:
@@ -301,25 +313,32 @@ class Covariance:
             if method == "hutchinson":
                 return hutchinson_traceinv(self.correlation(0, scale), self.points, eta, count)[0] / a**2
             return slq_logdet(self.correlation(0, scale), self.points, eta, count, self.options.get("lanczos_degree", 20), function=lambda x: 1 / x)[0] / a**2
-        build, index = self._dense(derivative, scale), "i"
+        build = self._dense(derivative, scale)
+        if B is None:
 
-        def work(rows: pd.DataFrame) -> pd.DataFrame:
-            lam, u = np.linalg.eigh(build(rows) + eta * np.eye(len(rows)))
-            if not held:
+            def spectral(rows: pd.DataFrame) -> pd.DataFrame:
+                lam = np.linalg.eigvalsh(build(rows) + eta * np.eye(len(rows)))
                 return pd.DataFrame({"value": [float((lam ** float(-p)).sum())]})
-            inverse = (u * lam ** float(-p)) @ u.T
-            place = {v: k for k, v in enumerate(rows[index])}
-            full = []
-            for entries in held:
-                m = np.zeros((len(rows), len(rows)))
-                for i, j, v in entries:
-                    m[place[i], place[j]] = v
-                full.append(m)
-            out = full[0] @ inverse
-            return pd.DataFrame({"value": [float(np.trace(out @ full[1] @ inverse if len(full) > 1 else out))]})
-
-        held = [[tuple(r) for r in m.select("i", "j", "v").limit(MOST_DENSE**2).collect()] for m in (B, C) if m is not None]
-        return float(local(self.points, work, "value double").first()[0]) * a ** (-2 * p * (2 if C is not None else 1))
+
+            return float(local(self.points, spectral, "value double").first()[0]) * a ** (-2 * p)
+
+        def inverse(rows: pd.DataFrame) -> pd.DataFrame:
+            lam, u = np.linalg.eigh(build(rows) + eta * np.eye(len(rows)))
+            i = rows["i"].to_numpy()
+            return pd.DataFrame({"i": np.repeat(i, len(i)), "j": np.tile(i, len(i)), "v": ((u * lam ** float(-p)) @ u.T).ravel()})
+
+        power = checkpointed(local(self.points, inverse, "i long, j long, v double"))
+
+        def times(left: DataFrame, right: DataFrame) -> DataFrame:
+            """The entries of a product, by a join on the inner index; repeated entries of one place add up."""
+            both = left.select("i", F.col("j").alias("k"), F.col("v").alias("x")).join(right.select(F.col("i").alias("k"), "j", F.col("v").alias("y")), "k")
+            return both.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+        right = power if C is None else times(C, power)
+        left = B if C is None else times(B, power)
+        total = left.select("i", F.col("j").alias("k"), F.col("v").alias("x")).join(right.select(F.col("i").alias("k"), F.col("j").alias("i"), F.col("v").alias("y")), ["i", "k"])
+        value = total.agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0.0
+        return float(value) * a ** (-2 * p * (2 if C is not None else 1))
 
     def logdet(self, sigma=None, sigma0=None, scale=None, derivative=(), p: float = 1) -> float:
         self._power(derivative, p)
@@ -346,7 +365,8 @@ class Covariance:
         return p * float(local(self.points, work, "value double").first()[0]) + 2 * p * n * math.log(a)
 
     def solve(self, vectors: DataFrame, names: list[str], sigma=None, sigma0=None, scale=None, derivative=(), p: int = 1) -> DataFrame:
-        """(i, names..) of S^-p y for the columns of rows (i, names..): Cholesky if dense, conjugate gradients if sparse."""
+        """(i, names..) of S^-p y for the columns of rows (i, names..): Cholesky if dense; if sparse by options["solver"]: cg, minres
+        or gmres on packed entries in one task, or dataframe-cg for any number of them."""
         self._power(derivative, p)
         a, b = self.get_sigmas(sigma, sigma0)
         if p == 0 and not derivative:
@@ -357,8 +377,18 @@ class Covariance:
         eta = self._eta(a, b, derivative)
         if self.sparse and not derivative:
             out, upper = vectors.select("i", *names), self.correlation(0, scale)
-            for _ in range(p):
-                out = conjugate_gradient(upper, out, names, eta, self.options.get("solver_tol", 1e-6))
+            solver, tol = self.options.get("solver", "cg"), self.options.get("solver_tol", 1e-6)
+            if solver == "dataframe-cg":
+                for _ in range(p):
+                    out = conjugate_gradient(upper, out, names, eta, tol)
+            else:
+
+                def packed(m: Packed, ids: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+                    for _ in range(p):
+                        y = solvers.solve(m, eta, y, solver, tol)
+                    return pd.DataFrame({"i": ids, **{c: y[:, k] for k, c in enumerate(names)}})
+
+                out = solvers.packed_task(upper, out, names, packed, "i long, " + ", ".join(f"{c} double" for c in names))
         else:
             build = self._dense(derivative, scale)
 

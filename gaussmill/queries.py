@@ -126,12 +126,6 @@ def points_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.generate_data(S.lattice(spark, 30, 2)))
 
 
-def sample_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of random points in a box of raised contrast: (inside)."""
-    pts = S.generate_points(spark, 100, 2, a=(0.2, 0.3), b=(0.4, 0.5), contrast=0.7)
-    return pts.agg(F.count("*").alias("n"), F.sum((F.col("x0").between(0, 1) & F.col("x1").between(0, 1)).cast("long")).alias("n_cube"))
-
-
 # correlation
 
 
@@ -226,32 +220,6 @@ def spectrum_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(values.agg(F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2")))
 
 
-def extreme_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_cov(spark, sf_dir).extreme_eigenvalues())
-
-
-def cov_trace_real_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return one(spark, p15=_cov(spark, sf_dir).trace(p=1.5))
-
-
-def cg_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conjugate gradients on the tapered matrix of the suppliers."""
-    c = C.Covariance(S.supplier_points(spark, sf_dir), sigma=1.0, sigma0=1.0, scale=0.1, kernel=K.Exponential(), kernel_threshold=0.05, options={"method": "cholesky", "solver_tol": 1e-10})
-    return rounded(c.solve(c.points, ["z"]).withColumnRenamed("z", "u"))
-
-
-def stochastic_traceinv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = C.Covariance(S.supplier_points(spark, sf_dir), sigma=1.0, sigma0=1.0, scale=0.1, kernel=K.Exponential(), kernel_threshold=0.05)
-    value, error = C.hutchinson_traceinv(c.correlation(), c.points, 1.0, 10)
-    return one(spark, estimate=value, error=error)
-
-
-def slq_logdet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = C.Covariance(S.supplier_points(spark, sf_dir), sigma=1.0, sigma0=1.0, scale=0.1, kernel=K.Exponential(), kernel_threshold=0.05)
-    value, error = C.slq_logdet(c.correlation(), c.points, 1.0, 10, 8)
-    return one(spark, estimate=value, error=error)
-
-
 # likelihood and regression
 
 
@@ -271,14 +239,6 @@ def profile_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.argmax(H.profile_grid(_spectrum(spark, sf_dir), _grid(spark))), ("eta",))
 
 
-def double_profile_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(H.double_profile(S.nation_points(spark, sf_dir), K.Exponential(), [0.1, 0.3, 1.0], B.Basis(0), _grid(spark)), ("eta", "scale"))
-
-
-def der1_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(H.slope_bounds(_spectrum(spark, sf_dir), _grid(spark), 1), ("eta",))
-
-
 def ols_sigma0(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordinary least squares on a constant and x0: coefficients and residual deviation."""
     frame = S.supplier_points(spark, sf_dir).select(F.lit(1.0).alias("b0"), F.col("x0").alias("b1"), "z")
@@ -316,10 +276,6 @@ def gp_predict_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_fixed_model(spark, sf_dir).predict(S.supplier_points(spark, sf_dir).drop("z")))
 
 
-def gp_predict_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_fixed_model(spark, sf_dir).predict_band(S.customer_points(spark, sf_dir)))
-
-
 def session_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaussmill.runtime import info
 
@@ -333,9 +289,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{
         f.__name__: f
         for f in (
-            basis_orthonormal_gram, points_lattice, sample_points, k_exponential_rowsum, corr_derivatives_rowsum, cross_corr_rowsum, corr_taper_rowsum, cross_taper_rowsum, corr_taper_stats, taper_threshold,
-            cov_traces, cov_dot, cov_matrix, auto_covariance, cross_covariance, cov_logdet, cov_traceinv, cov_solve, spectrum_sums, extreme_eigenvalues, cov_trace_real_p, cg_solve, stochastic_traceinv, slq_logdet,
-            profile_loglik_grid, profile_argmax, double_profile_argmax, der1_bounds, ols_sigma0, gp_train_summary, gp_convergence, gp_predict_mean, gp_predict_band, session_info,
+            basis_orthonormal_gram, points_lattice, k_exponential_rowsum, corr_derivatives_rowsum, cross_corr_rowsum, corr_taper_rowsum, cross_taper_rowsum, corr_taper_stats, taper_threshold,
+            cov_traces, cov_dot, cov_matrix, auto_covariance, cross_covariance, cov_logdet, cov_traceinv, cov_solve, spectrum_sums,
+            profile_loglik_grid, profile_argmax, ols_sigma0, gp_train_summary, gp_convergence, gp_predict_mean, session_info,
         )
     },
 }
@@ -397,7 +353,6 @@ ORACLES: dict[str, str] = {
     **{k: f"WITH n AS ({SUP}) SELECT i, " + ", ".join(f"{_r(e)} AS b{c}" for c, e in enumerate(v[1])) + " FROM n" for k, v in BASES.items()},
     "basis_orthonormal_gram": "SELECT CAST(a.p AS INTEGER) AS p, CAST(b.p AS INTEGER) AS q, CASE WHEN a.p = b.p THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM (SELECT unnest(range(3)) AS p) a, (SELECT unnest(range(3)) AS p) b",
     "points_lattice": f"SELECT k AS i, {_r('(k % 30) / 29.0::DOUBLE')} AS x0, {_r('(k // 30) / 29.0::DOUBLE')} AS x1, {_r('sin(pi() * (k % 30) / 29) + sin(pi() * (k // 30) / 29)')} AS z FROM (SELECT unnest(range(900)) AS k)",
-    "sample_points": "SELECT CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS n_cube",
     "k_exponential_rowsum": f"WITH n AS ({SUP}) SELECT a.i, {_r(f'sum(exp(-{DIST}))')} AS s_v FROM n a, n b GROUP BY a.i",
     "corr_derivatives_rowsum": _derivative_sql(),
     "cross_corr_rowsum": f"SELECT b.i AS t, {_r(f'sum(exp(-{DIST}))')} AS s_v FROM ({SUP}) a, ({CUS}) b GROUP BY b.i",

@@ -4,12 +4,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gaussmill.functions import kernels
 from gaussmill.functions import kernels as K
 from gaussmill.functions import priors as P
 from gaussmill.functions.basis import Basis
 from gaussmill.operators import covariance as C
+from gaussmill.operators import solvers
 from gaussmill.operators.pairs import correlation, mirrored, taper_threshold
 from gaussmill.plans import gaussian_process as G
+from gaussmill.plans import tapered
 from gaussmill.plans.likelihood import Evaluator
 from gaussmill.plans.optimize import METHODS, bracket, find_root
 from gaussmill.sources import points as S
@@ -234,3 +237,72 @@ def test_runtime(spark):
     m.stop()
     assert m.get_mem() >= 0 and human_readable(2048) == (2, "Kb")
     assert info(spark).count() == 1 and get_config(spark, "shuffle_partitions") == 4
+
+
+def packed(K, spread=7):
+    i, j = np.nonzero(np.triu(K))
+    return solvers.Packed(spread * np.arange(len(K)), spread * i, spread * j, K[i, j])
+
+
+@pytest.mark.parametrize("name", solvers.SOLVERS)
+def test_solvers(name):
+    rng = np.random.RandomState(3)
+    K = rng.randn(80, 80) * (rng.rand(80, 80) < 0.1)
+    K = K + K.T + np.diag(np.full(80, 12.0) if name == "cg" else np.where(np.arange(80) % 3, 9.0, -9.0))
+    y = np.c_[rng.randn(80, 2), np.zeros(80)]
+    m = packed(K)
+    assert np.allclose(m.dot(y), K @ y)
+    got = solvers.solve(m, 0.3, y, name, 1e-12)
+    assert np.allclose(got, np.linalg.solve(K + 0.3 * np.eye(80), y), atol=1e-8)
+    if name == "cg":
+        with pytest.raises(ArithmeticError):
+            solvers.solve(m, -20.0, y, name)
+
+
+def test_tapered_profile_equals_dense():
+    rng = np.random.RandomState(1)
+    x, X = rng.rand(120, 2), None
+    X = np.c_[np.ones(120), x]
+    z = np.sin(3 * x[:, 0]) + rng.randn(120) / 5
+    e = Evaluator(x, z, X, kernels.Exponential(), threshold=0.1)
+    K = e.k([0.1, 0.1])[()]
+    exact = e.at_scale([0.1, 0.1])
+    own = tapered.TaperedProfile(packed(K, 1), z, X, {"max_num_samples": 400, "lanczos_degree": 120})
+    for eta in (0.5, 3.0):
+        assert own.variance(eta) == pytest.approx(exact.variance(eta), rel=1e-6)
+        assert own.profile(eta) == pytest.approx(exact.profile(eta), abs=1.5)
+        assert own.derivatives(eta) == pytest.approx(exact.derivatives(eta), rel=0.1)
+    assert own.profile(own.least / 2) == -np.inf if own.least else own.profile(1e-3) < np.inf
+
+
+def test_spectral_profile_equals_the_evaluator(noisy):
+    rng = np.random.RandomState(2)
+    x, z = rng.rand(40, 2), rng.randn(40)
+    for B in (None, np.array([[2.0, 0.1], [0.1, 1.0]])):
+        e = Evaluator(x, z, np.c_[np.ones(40), x[:, 0]], kernels.Matern(1.5), None if B is None else np.zeros(2), B)
+        own = e.at_scale([0.3, 0.5])
+        for eta in (0.01, 1.0, 50.0):
+            g, h = e.profile_derivatives(eta, [0.3, 0.5])
+            assert own.profile(eta) == pytest.approx(e.profile(eta, [0.3, 0.5])) and own.derivatives(eta) == pytest.approx((g[0], h[0, 0]))
+            assert own.full(1.3, 0.4) == pytest.approx(e.full(1.3, 0.4, [0.3, 0.5]))
+
+
+def test_guesses_and_tapered_training(spark):
+    data = S.generate_data(S.lattice(spark, 12, 2), 0.2, 1)
+    process = G.GaussianProcess(kernel=kernels.Exponential(), scale=0.05)
+    for guess in ([-1.0], [1.0, 2.0], [float("nan")]):
+        with pytest.raises(ValueError):
+            process.train(data, guess=guess)
+    with pytest.raises(ValueError):
+        process.train(data, threshold=0.1, profile="none")
+    model = process.train(data, threshold=0.05, method="chandrupatla")
+    mean = {r.t: r.mean for r in model.predict(data.drop("z")).collect()}
+    rows = data.orderBy("i").toPandas()
+    r = model.result
+    x, z = rows[["x0", "x1"]].to_numpy(), rows["z"].to_numpy()
+    K = C.matrix(kernels.Exponential(), x, r["scale"], threshold=0.05)
+    w = np.linalg.solve(K + r["eta"] * np.eye(len(z)), z - r["beta"][0])
+    assert np.allclose([mean[i] for i in rows["i"]], r["beta"][0] + K @ w, atol=1e-5)
+    assert model.prediction_summary(data.drop("z")).first()["tests"] == 144
+    far = spark.createDataFrame([(1, 50.0, 50.0)], "i long, x0 double, x1 double")
+    assert model.predict(far).first()["mean"] == pytest.approx(r["beta"][0])

@@ -6,8 +6,9 @@ import os
 import duckdb
 import pytest
 
-from gaussmill.queries import ORACLES, QUERIES
+from gaussmill import likelihood_queries, queries
 
+QUERIES, ORACLES = queries.QUERIES | likelihood_queries.QUERIES, queries.ORACLES | likelihood_queries.ORACLES
 SLOW = {"cg_solve", "stochastic_traceinv", "slq_logdet"}  # covered by test_process
 
 
