@@ -57,7 +57,7 @@ def worker_cached(key, make: Callable):
 
 
 #: Rows for each task and file of a table whose number of rows is known to have a bound.
-ROWS_A_FILE = 500_000
+ROWS_A_FILE = 50_000
 
 
 def written(df: DataFrame, name: str, path: str | None = None, *, most: int | None = None, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
