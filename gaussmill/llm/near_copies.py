@@ -52,8 +52,8 @@ from gaussmill.llm.simhash import SEED, U64, gray_rank
 
 WORDS, SIMILARITY = 5, 0.8
 BITS, CELLS, LOOSE, SPLIT = 2048, 24, 7, 1024
-#: Rows that a task compares.
-ROWS_A_TASK = 20_000
+#: Rows that a task compares: of fingerprints, and of shingle sets.
+ROWS_A_TASK, SETS_A_TASK = 20_000, 2_000
 #: Estimates from SLACK above the limit on are sure enough to link, until their shingle sets are compared; those more than BELOW under it (four standard errors) are no links.
 SLACK, BELOW = 0.06, 0.08
 
@@ -261,10 +261,10 @@ def _bits(held: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(held), U64).reshape(-1, BITS // 64)
 
 
-def _by_group(rows: DataFrame, keys: list[str], work, names: list[str], schema: str, name: str, most: int) -> DataFrame:
+def _by_group(rows: DataFrame, keys: list[str], work, names: list[str], schema: str, name: str, most: int, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """`work` on the other columns of each group of at most `most` rows, groups dealt by their keys; written."""
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return written(map_batches(dealt, lambda batches: _groups(batches, len(keys), work, names), schema), name, most=most, rows_a_file=ROWS_A_TASK)
+    return written(map_batches(dealt, lambda batches: _groups(batches, len(keys), work, names), schema), name, most=most, rows_a_file=rows_a_task)
 
 
 def filed_nodes(prints: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -312,7 +312,7 @@ def _sets(light: DataFrame, ids: DataFrame, words: int, most: int) -> DataFrame:
                 sets = [shingle_hashes(t, words).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    return written(map_batches(light.join(ids.distinct(), "id").select("id", "text"), work, "id long, set binary"), "shingle-sets", most=most, rows_a_file=ROWS_A_TASK // 4)
+    return written(map_batches(light.join(ids.distinct(), "id").select("id", "text"), work, "id long, set binary"), "shingle-sets", most=most, rows_a_file=SETS_A_TASK)
 
 
 def _with(roots: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def _grown(roots: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: floa
     for end in ("b", "a"):
         pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("set").alias(f"set_{end}")), end)
     held = map_batches(pairs.select("a", "b", "set_a", "set_b"), lambda b: _checked(b, similarity), "a long, b long")
-    return _with(roots, written(held, "checked", most=count, rows_a_file=ROWS_A_TASK))
+    return _with(roots, written(held, "checked", most=count, rows_a_file=SETS_A_TASK))
 
 
 def _blocks(rows: DataFrame, keys: list[str], part: Column, size: int, *carry: str) -> DataFrame:
@@ -366,7 +366,7 @@ def _settled(roots: DataFrame, clusters: DataFrame, split_nodes: DataFrame, prin
     dealt = dealt.join(sets, "id").select("arena", "part", "others", "id", "root", "few", "set")
     links = _by_group(
         dealt, ["arena", "part", "others"],
-        lambda i, r, few, sets: _columns(exact_links(i, r, few, [np.frombuffer(s, U64) for s in sets], similarity), (np.int64, np.int64)), ["a", "b"], "a long, b long", "exact-links", 4 * members.count(),
+        lambda i, r, few, sets: _columns(exact_links(i, r, few, [np.frombuffer(s, U64) for s in sets], similarity), (np.int64, np.int64)), ["a", "b"], "a long, b long", "exact-links", 4 * members.count(), SETS_A_TASK,
     )
     return _with(roots, links)
 
