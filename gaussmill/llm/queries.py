@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gaussmill.llm import line_dedup, sharding
+from gaussmill.llm import line_dedup, privacy, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,12 +112,52 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
+#: The kinds of personal data as given: name, pattern, value of an entity, and what a match must pass.
+KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "lower(m)", "TRUE"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "m", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(x, 3) AS INTEGER) > 255)) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", "digits", "length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''), lambda x, i: CAST(substr('0246813579', 1 + CAST(x AS INTEGER), 1) AS INTEGER) * (1 - i % 2) + CAST(x AS INTEGER) * (i % 2))) % 10 = 0"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "digits", "length(digits) BETWEEN 9 AND 15"),
+)
+
+
+def matches_sql(pattern: str) -> str:
+    """Rows (r, j, before, m, after, s) of the matches in `d`: the text before and after up to the next match, and the start."""
+    parts = f"SELECT r, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM d"
+    rows = f"SELECT r, unnest(range(len(ms))) AS j, unnest(ps[1:len(ms)]) AS before, unnest(ms) AS m, unnest(ps[2:len(ms) + 1]) AS after FROM ({parts})"
+    return f"SELECT *, sum(length(before) + length(m)) OVER (PARTITION BY r ORDER BY j) - length(m) AS s FROM ({rows})"
+
+
+def privacy_sql() -> str:
+    """Matches of the plain patterns, PMI / IC of the words beside them, and where disclosing words stand."""
+    base = " UNION ALL ".join(
+        f"SELECT r, {k} AS k, '{kind}' AS kind, s, s + length(m) AS n, '{kind}:' || {value} AS e FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM ({matches_sql(pattern)})) WHERE {valid}"
+        for k, (kind, pattern, value, valid) in enumerate(KINDS)
+    )
+    return rf"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), total AS (SELECT count(*) AS every FROM d),
+        base AS MATERIALIZED ({base}), e AS (SELECT DISTINCT r, e FROM base),
+        w AS MATERIALIZED (SELECT DISTINCT r, lower(x) AS t FROM (SELECT r, unnest(regexp_extract_all(text, '\p{{L}}+')) AS x FROM d) WHERE length(x) >= 3),
+        ne AS (SELECT e, count(*) AS ne FROM e GROUP BY e HAVING count(*) >= {privacy.SUPPORT} AND count(*) < (SELECT every FROM total)),
+        nt AS (SELECT t, count(*) AS nt FROM w GROUP BY t),
+        joint AS (SELECT e.e, w.t, ne.ne, count(*) AS both_ FROM e JOIN ne ON e.e = ne.e JOIN w ON e.r = w.r GROUP BY e.e, w.t, ne.ne HAVING count(*) >= {privacy.SUPPORT}),
+        told AS (SELECT e, joint.t FROM joint JOIN nt ON joint.t = nt.t, total WHERE log2(both_ * every / (ne * nt)) / log2(every / ne) >= {privacy.GENERALISE}),
+        masks AS (SELECT DISTINCT e.r, told.t FROM e JOIN told ON e.e = told.e),
+        runs AS (SELECT *, lead(m) OVER (PARTITION BY r ORDER BY j) AS next_ FROM ({matches_sql(r"\p{L}+")})),
+        terms AS (SELECT runs.r, 9 AS k, 'term' AS kind, s, s + length(m) AS n FROM runs JOIN masks ON runs.r = masks.r AND lower(m) = masks.t
+                  WHERE length(m) >= 3 AND NOT regexp_matches(before, '[\p{{N}}@._%+-]$') AND NOT regexp_matches(after, '^\.?[\p{{N}}@_%+-]') AND NOT (after = '.' AND next_ IS NOT NULL)),
+        spans AS (SELECT r, k, kind, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(n AS BIGINT) AS span FROM (SELECT r, k, kind, s, n FROM base UNION ALL SELECT * FROM terms)),
+        g AS (SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone", "term"))}, string_agg(span, ',' ORDER BY k, s) FILTER (k < 9) AS own, string_agg(span, ',' ORDER BY k, s) AS spans FROM spans GROUP BY r)
+        SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone", "term"))}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.r = g.r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": r"""
             WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
             SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, h AS text_sha256
             FROM t WINDOW g AS (PARTITION BY h)""",
+        "op2_privacy": privacy_sql(),
         "op4_extendible_sharding": f"""
             WITH t AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS b, lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)), 60, '0') AS bits FROM documents),
             l AS (SELECT doc_id, g.k AS depth, substr(bits, 1, g.k) AS shard, sum(b) OVER w AS shard_bytes, count(*) OVER w AS shard_docs

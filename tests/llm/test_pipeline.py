@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 import re
 
 import corpus_pipeline
@@ -57,6 +58,26 @@ def test_query_equals_sql(spark, sf, name):
     assert as_rows(mine) == as_rows(theirs)
 
 
+def test_privacy_sql_on_crowded_texts(spark, tmp_path):
+    """Texts full of entities, near misses and names that give entities away: operator and SQL agree on all spans."""
+    draw = random.Random(5)
+    people = [(f"p{k}@site{k % 7}.example.org", f"Zu\u00f1iga{chr(97 + k % 26)}{chr(97 + k // 26)}", f"+44 20 79{k:02} 1234") for k in range(40)]
+    noise = ["10.0.0.1", "256.1.1.1", "001.2.3.4", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "a@b", "a@b.c.", "x@@y.z", "+1 (2)", "word", "Word", "ab", "\u6f22\u5b57\u8a9e", "x.Word", "Word_", "-Word", "Word.", "", "\n"]
+    texts = []
+    for k in range(400):
+        mail, name, phone = draw.choice(people)
+        own = [mail, name, phone.replace(" ", draw.choice([" ", "-", "."])), name.upper(), f"{name}'s", f"({name})", f"{name}.{name}"]
+        texts.append("".join(draw.choice([*own, *noise]) + draw.choice([" ", "  ", ", ", "; "]) for _ in range(draw.randint(0, 25))))
+    rows = [(k, t) for k, t in enumerate([*texts, None, "", "no data"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = con.sql(queries.oracle_sql()["op2_privacy"])
+    found = queries.queries()["op2_privacy"](spark, str(tmp_path)).select(*theirs.columns).collect()
+    assert sorted(map(tuple, found)) == sorted(theirs.fetchall())
+    assert all(sum(r[f"n_{k}"] for r in found) > 100 for k in ("email", "ip", "card", "phone", "term"))
+
+
 def test_all_ten_are_registered():
     names = list(queries.queries())
     assert [n for n in names if n != "pipeline"] == sorted((n for n in names if n != "pipeline"), key=lambda n: int(n[2:].split("_")[0]))
