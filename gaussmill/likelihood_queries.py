@@ -154,6 +154,13 @@ def stochastic_traceinv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _estimate(spark, c.traceinv(), *C.hutchinson_traceinv(c.correlation(), c.points, 1.0, 10))
 
 
+def stochastic_traceinv_bc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact tr B M^-1 C M^-1 with B the tapered correlation and C the diagonal 1 + x0^2, and whether Hutchinson's estimate lies within five standard errors."""
+    c = _tapered(spark, sf_dir)
+    b, diagonal = R.mirrored(c.correlation()), c.points.select("i", F.col("i").alias("j"), (1.0 + F.col("x0") * F.col("x0")).alias("v"))
+    return _estimate(spark, c.traceinv(B=b, C=diagonal), *C.hutchinson_traceinv(c.correlation(), c.points, 1.0, 10, B=b, C=diagonal))
+
+
 def slq_logdet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact log determinant, and whether Lanczos quadrature lies within five standard errors."""
     c = _tapered(spark, sf_dir)
@@ -223,7 +230,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         profile_surface, full_surface, double_profile_argmax, full_loglik_derivatives, profile_loglik_derivatives, log_posterior_derivatives, asymptotic_slope, beta_gls, cov_trace_bc, cov_trace_real_p,
-        extreme_eigenvalues, der1_bounds, cov_derivative_functions, corr_taper_derivatives, cg_solve, sparse_solvers, stochastic_traceinv, slq_logdet, gp_predict_band, gp_train_nation, gp_train_tapered, kernel_tables,
+        extreme_eigenvalues, der1_bounds, cov_derivative_functions, corr_taper_derivatives, cg_solve, sparse_solvers, stochastic_traceinv, stochastic_traceinv_bc, slq_logdet, gp_predict_band, gp_train_nation, gp_train_tapered, kernel_tables,
         prior_suggestions, sample_points_grid,
     )
 }
@@ -402,6 +409,8 @@ ORACLES: dict[str, str] = {
     "cg_solve": f"{_SOLVED} SELECT i, {_r('u')} AS u FROM x",
     "sparse_solvers": f"{_SOLVED} SELECT i, solver, {_r('u')} AS u FROM x, (VALUES ('cg'), ('minres'), ('gmres')) AS v(solver)",
     "stochastic_traceinv": f"WITH RECURSIVE {_TAPERED}, {_inverses('m')} SELECT {_r('sum(v)')} AS exact, TRUE AS within FROM inv WHERE i = j",
+    "stochastic_traceinv_bc": f"""WITH RECURSIVE {_TAPERED}, {_inverses('m')}, q AS (SELECT a.i, b.j, sum(a.v * (1 + n.x0 * n.x0) * b.v) AS v FROM inv a JOIN inv b ON a.j = b.i JOIN n ON a.j = n.i GROUP BY a.i, b.j)
+        SELECT {_r('sum((m.v - CASE WHEN m.i = m.j THEN 1 ELSE 0 END) * q.v)')} AS exact, TRUE AS within FROM m JOIN q ON m.i = q.j AND m.j = q.i""",
     "slq_logdet": f"WITH RECURSIVE {_TAPERED}, {_inverses('m')} SELECT {_r('any_value(logdet)')} AS exact, TRUE AS within FROM inv",
     "gp_predict_band": f"""WITH RECURSIVE n AS ({NAT}), {_KD}, m AS (SELECT 'x' AS key, i, j, k + {ETA} * {_EYE} AS v FROM kd), {_inverses("m")}, {_projected()},
         x AS (SELECT c_custkey AS t, c_acctbal / 10000 AS x0, c_nationkey / 25.0::DOUBLE AS x1 FROM customer), ks AS (SELECT b.t, a.i, exp(-{DIST}) AS v FROM n a, x b),

@@ -126,11 +126,20 @@ def probes(points: DataFrame, count: int, seed: int = 0) -> DataFrame:
     return points.select("i", *[(F.lit(1.0) - 2.0 * F.pmod(F.xxhash64("i", F.lit(k), F.lit(seed)), F.lit(2))).alias(f"s{k}") for k in range(count)])
 
 
-def hutchinson_traceinv(upper: DataFrame, points: DataFrame, eta: float, count: int = 20, seed: int = 0, tol: float = 1e-6) -> tuple[float, float]:
-    """tr (K + eta I)^-1 and its standard error."""
+def hutchinson_traceinv(upper: DataFrame, points: DataFrame, eta: float, count: int = 20, seed: int = 0, tol: float = 1e-6, p: int = 1, B: DataFrame | None = None, C: DataFrame | None = None) -> tuple[float, float]:
+    """tr M^-p, tr B M^-p or tr B M^-p C M^-p with M = K + eta I, and its standard error; B and C are rows (i, j, v) of whole matrices."""
     names = [f"s{k}" for k in range(count)]
     s = checkpointed(probes(points, count, seed))
-    u = conjugate_gradient(upper, s, names, eta, tol)
+
+    def times(entries: DataFrame, vector: DataFrame) -> DataFrame:
+        """Rows that hold no entry give zero."""
+        found = product(entries, vector, names, True).select("i", *[F.col(c).alias(f"k_{c}") for c in names])
+        return s.select("i").join(found, "i", "left").select("i", *[F.coalesce(f"k_{c}", F.lit(0.0)).alias(c) for c in names])
+
+    u = s
+    for k in range(2 * p if C is not None else p):
+        u = conjugate_gradient(upper, times(C, u) if C is not None and k == p else u, names, eta, tol)
+    u = u if B is None else times(B, u)
     both = s.join(u.select("i", *[F.col(c).alias(f"u_{c}") for c in names]), "i")
     got = np.array(both.agg(*[F.sum(F.col(c) * F.col(f"u_{c}")) for c in names]).first(), float)
     return float(got.mean()), float(got.std(ddof=1) / math.sqrt(count)) if count > 1 else math.inf
@@ -290,7 +299,10 @@ class Covariance:
         return float(values.agg(F.sum(F.pow(F.col("value") + shift, F.lit(float(p))))).first()[0]) * a ** (2 * p)
 
     def traceinv(self, sigma=None, sigma0=None, scale=None, derivative=(), p: int = 1, B: DataFrame | None = None, C: DataFrame | None = None) -> float:
-        """tr S^-p, tr B S^-p, or tr B S^-p C S^-p; B and C are rows (i, j, v) of whole matrices."""
+        """tr S^-p, tr B S^-p, or tr B S^-p C S^-p; B and C are rows (i, j, v) of whole matrices.
+
+        The methods "hutchinson" and "slq" estimate natural powers at any size; with B or C both use Hutchinson's estimator.
+        """
         self._power(derivative, p)
         if C is not None and B is None:
             raise ValueError("C needs B")
@@ -308,11 +320,11 @@ class Covariance:
         eta, method = self._eta(a, b, derivative), self.options.get("method", "cholesky")
         if method == "cholesky" and derivative:
             raise ValueError("derivatives of a covariance aren't positive definite; use the eigenvalue method")
-        if B is None and method in ("hutchinson", "slq") and p == 1 and not derivative:
-            count = self.options.get("max_num_samples", 20)
-            if method == "hutchinson":
-                return hutchinson_traceinv(self.correlation(0, scale), self.points, eta, count)[0] / a**2
-            return slq_logdet(self.correlation(0, scale), self.points, eta, count, self.options.get("lanczos_degree", 20), function=lambda x: 1 / x)[0] / a**2
+        if method in ("hutchinson", "slq") and not derivative and float(p).is_integer() and p > 0:
+            count, upper = self.options.get("max_num_samples", 20), self.correlation(0, scale)
+            if method == "slq" and B is None:
+                return slq_logdet(upper, self.points, eta, count, self.options.get("lanczos_degree", 20), function=lambda x: x ** -float(p))[0] * a ** (-2 * p)
+            return hutchinson_traceinv(upper, self.points, eta, count, tol=self.options.get("solver_tol", 1e-6), p=int(p), B=B, C=C)[0] * a ** (-2 * p * (2 if C is not None else 1))
         build = self._dense(derivative, scale)
         if B is None:
 

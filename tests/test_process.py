@@ -105,6 +105,31 @@ def test_sparse_and_stochastic(grid):
     assert abs(value - np.linalg.slogdet(k)[1]) < 5 * error + 0.5
 
 
+def test_stochastic_traces_of_powers_and_products(grid, spark):
+    """Both estimators against numpy: powers, and products with matrices whose rows need not all hold entries."""
+    c = C.Covariance(grid, sigma=2.0, sigma0=2.0, scale=0.3, kernel=K.Exponential(), kernel_threshold=0.1, options={"method": "slq", "max_num_samples": 8})
+    m = np.linalg.inv(C.matrix(c.kernel, array(grid), [0.3, 0.3], threshold=0.1) + np.eye(36))
+    ids = [r.i for r in grid.orderBy("i").collect()]
+    b, d = np.diag(np.r_[np.arange(1.0, 36.0), 0.0]), np.eye(36)
+    d[0, 1], d[35, 35] = 0.5, 0.0
+    frame = lambda a: spark.createDataFrame([(ids[i], ids[j], float(a[i, j])) for i, j in zip(*a.nonzero(), strict=True)], "i long, j long, v double")
+    value, error = C.slq_logdet(c.correlation(), grid, 1.0, 8, 10, function=lambda x: x**-2.0)
+    assert abs(value - np.trace(m @ m)) < 5 * error + 0.05 and c.traceinv(p=2) == pytest.approx(value / 16)
+    signs = np.array([tuple(r)[1:] for r in C.probes(grid, 8).orderBy("i").collect()])
+    estimate = lambda a: float(np.einsum("ik,ij,jk->k", signs, a, signs).mean())
+    value, error = C.hutchinson_traceinv(c.correlation(), grid, 1.0, 8, p=2, B=frame(b))
+    assert value == pytest.approx(estimate(b @ m @ m), rel=1e-4) and abs(value - np.trace(b @ m @ m)) < 5 * error
+    assert c.traceinv(B=frame(b), C=frame(d)) == pytest.approx(estimate(b @ m @ d @ m) / 16, rel=1e-4)
+
+
+def test_tapered_weights_of_pure_noise(grid):
+    """Where training ends at an infinite noise ratio, the weights are the residuals over the noise's variance."""
+    process = G.GaussianProcess(kernel=K.Exponential(), scale=0.3)
+    held = {"sigma": 0.0, "sigma0": 0.5, "eta": math.inf, "scale": [0.3, 0.3], "beta": [1.0], "c": [1.0], "threshold": 0.1, "options": {}, "n": 36}
+    found = {r.i: r.w for r in G.GPModel(process, grid, held).weights().collect()}
+    assert found == pytest.approx({r.i: (r.z - 1.0) / 0.25 for r in grid.collect()})
+
+
 def evaluator(grid, proper=False):
     x = array(grid) + np.random.RandomState(0).rand(36, 2) / 50
     z = np.sin(3 * x[:, 0]) + x[:, 1] + np.random.RandomState(1).randn(36) / 10

@@ -9,7 +9,7 @@ import pytest
 from gaussmill import likelihood_queries, queries
 
 QUERIES, ORACLES = queries.QUERIES | likelihood_queries.QUERIES, queries.ORACLES | likelihood_queries.ORACLES
-SLOW = {"cg_solve", "stochastic_traceinv", "slq_logdet"}  # covered by test_process
+SLOW = {"cg_solve", "stochastic_traceinv", "stochastic_traceinv_bc", "slq_logdet"}  # covered by test_process
 
 
 @pytest.fixture(scope="module")
