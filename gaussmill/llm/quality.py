@@ -149,11 +149,14 @@ def fit(docs: DataFrame, graded: DataFrame, grades: int, *, doc_id: str = "doc_i
     """Fit on the documents that `graded` (doc_id, grade 0 to grades-1) covers, at most `most_labels` of its rows.
 
     Rows with a null id or a grade that is null or out of range are no labels.
-    Without labels the model accepts everything.
+    Of documents that share an id, the one whose text has the smallest hash is
+    fitted, so that the bound holds for any table.  Without labels the model
+    accepts everything.
     """
     rated = graded.select(F.col("doc_id").alias("id"), F.col("grade").cast("int").alias("grade")).where(f"id is not null and grade between 0 and {grades - 1}")
     rated = rated.groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(most_labels)
     rows = docs.select(col(doc_id).alias("id"), text_of(text).alias("text")).join(F.broadcast(rated), "id").select("id", "grade", "text")
+    rows = rows.groupBy("id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("id", "grade", "first.text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Featurizer()

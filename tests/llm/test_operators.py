@@ -183,6 +183,57 @@ def test_ordinal_fit_orders_grades():
     assert means == sorted(means) and means[2] - means[0] > 1
 
 
+def plain_features(text):
+    """The documented features, counted token by token."""
+    tokens, weights, distinct = text.split(), {}, {}
+    if not tokens:
+        return {quality._bucket("empty"): 3.0}
+    total = 0.0
+
+    def shape(token):
+        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token]
+        return "".join(c for k, c in enumerate(kinds) if k == 0 or kinds[k - 1] != c)
+
+    for token in tokens:
+        grams = [token] if len(token) <= 64 else [token[k : k + 4] for k in range(len(token) - 3)]
+        share = 1.0 if len(token) <= 64 else 0.25
+        total += share * len(grams)
+        for gram in grams:
+            distinct[gram, share] = share
+            word = gram.strip(".,;:!?*$%&#|()[]{}\"'-+/\\<>=_~^`@").lower()
+            for bucket in {quality._bucket(n) for n in ("w" + word, "s" + shape(gram), *("p" + word[:k] for k in range(4, 9) if len(word) > k))}:
+                weights[bucket] = weights.get(bucket, 0.0) + share
+    for name, value in (("same", sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))), ("distinct", sum(distinct.values()))):
+        weights[quality._bucket(name)] = weights.get(quality._bucket(name), 0.0) + value
+    return {b: 3.0 * (v / total) ** 0.5 for b, v in weights.items() if v}
+
+
+def test_quality_scores_equal_brute_force(spark, odd, docs):
+    """Grades and tails of every row from counted features and the model's formula."""
+    draw = random.Random(3)
+    held = [t or "" for _, t in texts(docs)[:50]] + [t or "" for _, t in texts(odd)] + ["A-1 a-1 (word) WORD word word", "z" * 64, "z" * 65 + " b b", "..."]
+    buckets = sorted({b for t in held for b in plain_features(t)})
+    model = quality.OrdinalModel(3, [-0.5, 0.75], {b: draw.uniform(-1, 1) for b in buckets})
+    found = quality.score(spark.createDataFrame([(k, t) for k, t in enumerate(held)], "doc_id long, text string"), model, carry=["doc_id"]).collect()
+    assert len(found) == len(held)
+    for r in found:
+        x = sum(model.weights[b] * v for b, v in plain_features(held[r.doc_id]).items())
+        tails = [1 / (1 + np.exp(t - x)) for t in model.thresholds]
+        assert r.expected_grade == pytest.approx(sum(tails)) and r.tail_probability == pytest.approx(tails[1])
+
+
+def test_quality_fit_reads_one_row_of_an_id(spark):
+    """Rows that share a labelled id count once, whatever their order, so that the bound of labels holds."""
+    words = ["fine clean text here", "poor poor poor", "other words again"]
+    once = [(k, words[k % 3] + f" n{k}") for k in range(60)]
+    labels = spark.createDataFrame([(k, 0 if k % 3 == 1 else 2) for k in range(60)], "doc_id long, grade int")
+    fitted = []
+    for rows in (once, [*once, *[once[1]] * 500], [*[once[1]] * 500, *reversed(once)]):
+        fitted.append(quality.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels, 3, l1=0.1))
+    assert fitted[0].weights and fitted[0] == fitted[1] == fitted[2]
+    assert fitted[0].tails(quality.Featurizer().features(words[0]))[1] > fitted[0].tails(quality.Featurizer().features(words[1]))[1]
+
+
 def test_quality_odd(spark, odd, empty, sf):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, 0, 0), (4, 0, None), (6, None, 1)], "doc_id long, quality int, toxic int")
     assert quality.quality_report(odd, labels).count() == len(ODD)
