@@ -67,3 +67,24 @@ def test_likelihood_of_copies(prior):
         (whole.at_scale(scale).derivatives(0.2), held.at_scale(scale).derivatives(0.2)), (whole.asymptotic(scale)["coefficients"], held.asymptotic(scale)["coefficients"]),
     ):
         assert np.allclose(a, c, rtol=1e-7, atol=1e-9)
+
+
+def test_indefinite_tapered_systems(spark):
+    """Copies multiply the negative eigenvalues that cutting leaves: conjugate gradients alone can't serve them."""
+    x = np.repeat(np.random.RandomState(4).rand(150, 2), 2, axis=0)
+    k = C.matrix(K.Exponential(), x, [0.2, 0.2], threshold=0.3) + 0.04 * np.eye(300)
+    assert np.linalg.eigvalsh(k)[0] < -0.1
+    z = np.sin(x[:, 0] * 3) + np.arange(300) % 2
+    for solver in ("cg", "minres", "gmres", "dataframe-cg"):
+        c = C.Covariance(frame(spark, x, z), sigma=1.0, sigma0=0.2, scale=0.2, kernel=K.Exponential(), kernel_threshold=0.3, options={"solver": solver, "solver_tol": 1e-11})
+        assert np.allclose([r.z for r in c.solve(c.points, ["z"]).orderBy("i").collect()], np.linalg.solve(k, z), atol=1e-6)
+
+
+def test_conjugate_gradients_as_rows(spark):
+    x, z = cloud(20, 1)
+    points = frame(spark, x, z)
+    c = C.Covariance(points, sigma=1.0, sigma0=1.0, scale=0.3, kernel=K.Exponential(), kernel_threshold=0.1)
+    u = C.conjugate_gradient(c.correlation(), points, ["z"], 1.0, 1e-9, packed=0)
+    assert np.allclose([r.z for r in u.orderBy("i").collect()], np.linalg.solve(C.matrix(K.Exponential(), x, [0.3, 0.3], threshold=0.1) + np.eye(20), z), atol=1e-7)
+    with pytest.raises(ArithmeticError):
+        C.conjugate_gradient(c.correlation(), points, ["z"], -3.0, 1e-9, packed=0)
