@@ -3,7 +3,8 @@
 Each stage works on all rows that the one before kept and returns the columns of
 `documents`; the last returns token ids and the text decoded from them.  What a
 stage returns is to be written before the next one starts: a stage begins by
-deleting the tables that the stage before it worked with, and no others.
+deleting the tables that the stage before it worked with, and no others, and
+gives back the driver memory that the stage before it no longer needs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from gaussmill.llm.decontaminate import decontaminate
 from gaussmill.llm.exact_dedup import exact_dedup
 from gaussmill.llm.near_copies import drop_near_copies
 from gaussmill.llm.quality import select_quality
-from gaussmill.runtime import Scratch, shared_folder
+from gaussmill.runtime import Scratch, give_back, shared_folder
 
 _tables: dict[str, Scratch] = {}
 
@@ -33,6 +34,7 @@ def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable
     def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         own = _tables.setdefault(spark.sparkContext.applicationId, Scratch(spark))
         own.keep_last(0)
+        give_back(spark)
         with scratch(own):
             return work(spark, docs, sf_dir)
 

@@ -82,3 +82,13 @@ def test_all_ten_are_registered():
     names = list(queries.queries())
     assert [n for n in names if n != "pipeline"] == sorted((n for n in names if n != "pipeline"), key=lambda n: int(n[2:].split("_")[0]))
     assert len(names) == 11 and sha("") == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_a_stage_begins_without_the_garbage_of_the_one_before(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    held = []
+    begun = corpus_pipeline.stage(lambda spark, docs, sf_dir: held.append(full()) or docs)
+    before = full()
+    begun(spark, spark.range(1), "")
+    assert held[0] > before
