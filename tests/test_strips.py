@@ -39,3 +39,22 @@ def test_more_distinct_points_than_a_dense_task_holds(spark):
     assert c.logdet() == pytest.approx(np.linalg.slogdet(s)[1])
     u = c.solve(c.points, ["z"]).toPandas().sort_values("i")["z"].to_numpy()
     assert np.allclose(s @ u, np.sin(x[:, 0] * 3), atol=1e-7)
+
+
+def test_training_by_band(spark, monkeypatch):
+    from gaussmill.plans import gaussian_process as G
+
+    x = np.random.RandomState(5).rand(60, 2).round(2)
+    x[40:50] = x[:10]
+    z = np.sin(x[:, 0] * 3) + np.random.RandomState(6).rand(60) / 3
+    points = spark.createDataFrame(pd.DataFrame({"i": np.arange(60), "x0": x[:, 0], "x1": x[:, 1], "z": z}))
+    process = G.GaussianProcess(kernel=K.Exponential(), scale=0.3)
+    for method in ("chandrupatla", "Newton-CG"):
+        monkeypatch.setattr(G, "MOST_DENSE", 3000)
+        dense = process.train(points, method=method).result
+        monkeypatch.setattr(G, "MOST_DENSE", 20)
+        monkeypatch.setattr(G.strips, "height_of", lambda n, most=0: 16)
+        band = process.train(points, method=method).result
+        assert band["n"] == 60 and band["success"] == dense["success"] and band["iterations"] == dense["iterations"]
+        for name in ("posterior", "eta", "sigma", "sigma0", "beta"):
+            assert band[name] == pytest.approx(dense[name], rel=1e-5)
