@@ -58,3 +58,13 @@ def test_training_by_band(spark, monkeypatch):
         assert band["n"] == 60 and band["success"] == dense["success"] and band["iterations"] == dense["iterations"]
         for name in ("posterior", "eta", "sigma", "sigma0", "beta"):
             assert band[name] == pytest.approx(dense[name], rel=1e-5)
+
+
+def test_trace_with_matrices_by_strips(spark, monkeypatch):
+    monkeypatch.setattr(C.strips, "height_of", lambda n, most=0: 16)
+    x, c = many(spark, 40)
+    r = np.random.RandomState(2)
+    b, d = r.rand(40, 40), r.rand(40, 40)
+    rows = lambda m: spark.createDataFrame(pd.DataFrame({"i": np.repeat(np.arange(40), 40), "j": np.tile(np.arange(40), 40), "v": m.ravel()}))
+    p = np.linalg.inv(C.matrix(K.Exponential(), x, [0.05, 0.05], threshold=0.1) + 4.0 * np.eye(40))
+    assert c.traceinv(B=rows(b), C=rows(d)) == pytest.approx(np.trace(b @ p @ d @ p))
