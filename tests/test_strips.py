@@ -68,3 +68,31 @@ def test_trace_with_matrices_by_strips(spark, monkeypatch):
     rows = lambda m: spark.createDataFrame(pd.DataFrame({"i": np.repeat(np.arange(40), 40), "j": np.tile(np.arange(40), 40), "v": m.ravel()}))
     p = np.linalg.inv(C.matrix(K.Exponential(), x, [0.05, 0.05], threshold=0.1) + 4.0 * np.eye(40))
     assert c.traceinv(B=rows(b), C=rows(d)) == pytest.approx(np.trace(b @ p @ d @ p))
+
+
+def test_strips_are_stored_in_small_pieces(spark, monkeypatch):
+    """Whole strips as values of one row did not fit the heap of an executor of 3,000 MB."""
+    m = T.Strips.built(spark, 600, 512, lambda at: np.ones((at.stop - at.start, 600)))
+    assert m.rows.selectExpr("max(length(data))").first()[0] <= 8 * T.PIECE < 8 * 512 * 600
+    monkeypatch.setattr(T, "PIECE", 150)
+    a = symmetric() + 3 * np.eye(50)
+    m = T.Strips.built(spark, 50, 8, lambda at: a[at])
+    entries = spark.createDataFrame(pd.DataFrame({"i": np.repeat(np.arange(50), 50) * 2, "j": np.tile(np.arange(50), 50) * 2, "v": a.ravel()}))
+    other = T.Strips.of_entries(entries, np.arange(50) * 2, 8)
+    assert m.rows.count() == other.rows.count() == 19 and np.array_equal(whole(m), whole(other))
+    T.inverted(m)
+    p = np.linalg.inv(a)
+    assert np.allclose(whole(m), p)
+    assert T.inner(T.multiplied(m, other), m) == pytest.approx(np.trace(p @ a @ p))
+    assert T.weighted(m, other, np.arange(50.0)) == pytest.approx(np.arange(50) @ np.diag(p @ a @ p))
+
+
+def test_trace_with_a_diagonal_matrix_by_strips(spark, monkeypatch):
+    monkeypatch.setattr(C.strips, "height_of", lambda n, most=0: 16)
+    monkeypatch.setattr(C.strips, "PIECE", 200)
+    x, c = many(spark, 40)
+    b, d = np.random.RandomState(2).rand(40, 40), np.arange(40) % 7 / 2
+    rows = lambda i, j, v: spark.createDataFrame(pd.DataFrame({"i": i, "j": j, "v": v}))
+    at = np.flatnonzero(d)
+    p = np.linalg.inv(C.matrix(K.Exponential(), x, [0.05, 0.05], threshold=0.1) + 4.0 * np.eye(40))
+    assert c.traceinv(B=rows(np.repeat(np.arange(40), 40), np.tile(np.arange(40), 40), b.ravel()), C=rows(at, at, d[at])) == pytest.approx(np.trace(b @ p @ np.diag(d) @ p))
