@@ -6,6 +6,7 @@ import pytest
 
 from gaussmill.functions import kernels as K
 from gaussmill.operators import covariance as C
+from gaussmill.operators import matrix_free
 from gaussmill.operators import strips as T
 
 
@@ -96,3 +97,23 @@ def test_trace_with_a_diagonal_matrix_by_strips(spark, monkeypatch):
     at = np.flatnonzero(d)
     p = np.linalg.inv(C.matrix(K.Exponential(), x, [0.05, 0.05], threshold=0.1) + 4.0 * np.eye(40))
     assert c.traceinv(B=rows(np.repeat(np.arange(40), 40), np.tile(np.arange(40), 40), b.ravel()), C=rows(at, at, d[at])) == pytest.approx(np.trace(b @ p @ np.diag(d) @ p))
+
+
+def test_products_evaluate_a_pair_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counted:
+        def reach(self, threshold):
+            return K.Exponential().reach(threshold)
+
+        def __call__(self, r):
+            seen.add(r.size)
+            return K.Exponential()(r)
+
+    r = np.random.RandomState(7)
+    x, w, v = r.rand(300, 2), 1.0 + np.arange(300) % 3, r.rand(300, 2)
+    for threshold, most in ((None, 0.6), (0.2, 0.6)):
+        before = seen.value
+        got = matrix_free.products(spark, x, w, [0.3, 0.2], Counted(), threshold)(v)
+        assert np.allclose(got, w[:, None] * (C.matrix(K.Exponential(), x, [0.3, 0.2], threshold=threshold) @ (w[:, None] * v)))
+        assert 0 < seen.value - before <= most * 300**2
