@@ -37,3 +37,14 @@ def test_many_points_are_solved_by_elimination(spark, monkeypatch):
     assert np.linalg.eigvalsh(s)[0] < -0.1
     u = c.solve(points, ["z"]).toPandas().sort_values("i")["z"].to_numpy()
     assert np.allclose(s @ u, np.sin(x[:, 0] * 3), atol=1e-7)
+
+
+def test_more_entries_than_a_task_packs(spark, monkeypatch):
+    """They were refused."""
+    monkeypatch.setattr(C.solvers, "MOST_ENTRIES", 1000)
+    x = np.random.RandomState(4).rand(120, 2)
+    points = spark.createDataFrame(pd.DataFrame({"i": np.arange(120), "x0": x[:, 0], "x1": x[:, 1], "z": np.sin(x[:, 0] * 3)}))
+    c = C.Covariance(points, sigma=1.0, sigma0=1.0, scale=0.1, kernel=K.Exponential(), kernel_threshold=0.05, options={"solver": "minres", "solver_tol": 1e-10})
+    assert not c.packs()
+    a = C.matrix(K.Exponential(), x, [0.1, 0.1], threshold=0.05) + np.eye(120)
+    assert np.allclose([r.z for r in c.solve(points, ["z"]).orderBy("i").collect()], np.linalg.solve(a, np.sin(x[:, 0] * 3)))
