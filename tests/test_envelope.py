@@ -48,3 +48,21 @@ def test_more_entries_than_a_task_packs(spark, monkeypatch):
     assert not c.packs()
     a = C.matrix(K.Exponential(), x, [0.1, 0.1], threshold=0.05) + np.eye(120)
     assert np.allclose([r.z for r in c.solve(points, ["z"]).orderBy("i").collect()], np.linalg.solve(a, np.sin(x[:, 0] * 3)))
+
+
+def test_traces_and_estimates_by_elimination(spark, monkeypatch):
+    """Of an indefinite matrix too, where strips of n^2 numbers filled the disk at size."""
+    monkeypatch.setattr(V, "HEIGHT", 64)
+    x = np.random.RandomState(4).rand(120, 2)
+    points = spark.createDataFrame(pd.DataFrame({"i": np.arange(120), "x0": x[:, 0], "x1": x[:, 1]}))
+    c = C.Covariance(points, sigma=1.0, sigma0=1.0, scale=0.1, kernel=K.Exponential(), kernel_threshold=0.05)
+    k, d = C.matrix(K.Exponential(), x, [0.1, 0.1], threshold=0.05), 1 + x[:, 0] ** 2
+    for eta in (-0.25,):
+        p = np.linalg.inv(k + eta * np.eye(120))
+        exact, value, error = c.inverse_traces(eta)
+        assert exact == pytest.approx(np.trace(p)) and abs(value - exact) <= 5 * error
+        exact, value, error = c.inverse_traces(eta, diagonal=points.selectExpr("i", "i as j", "1 + x0 * x0 as v"))
+        assert exact == pytest.approx(np.trace(k @ p @ np.diag(d) @ p)) and abs(value - exact) <= 5 * error
+    monkeypatch.setattr(C, "MOST_DENSE", 20)
+    exact, (value, error) = c.logdet(), c.slq_unstored(1.0, 10, 12)
+    assert exact == pytest.approx(np.linalg.slogdet(k + np.eye(120))[1]) and abs(value - exact) <= 5 * error
